@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Modules whose queries are registered, in order.
+MODULES = ("scan", "relations", "text_queries")
+
 
 @dataclass(frozen=True)
 class Query:
@@ -16,4 +20,20 @@ class Query:
     sql: str | None = None
 
 
-QUERIES: dict[str, Query] = {}
+_QUERIES: dict[str, Query] = {}
+
+
+def register(sql: str | None = None):
+    """Register a query under its function's name, with its SQL twin."""
+
+    def add(run: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[run.__name__] = Query(run, sql)
+        return run
+
+    return add
+
+
+def registered() -> dict[str, Query]:
+    for module in MODULES:
+        import_module(f"tessera.plans.{module}")
+    return dict(_QUERIES)
