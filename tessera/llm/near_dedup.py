@@ -138,7 +138,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     sketches = Sketches(nodes, ROWS * 2, BANDS, "<u2", fetch, joint_estimate, num / den - MARGIN, num, den)
     labels = link(sketches)
     of_class = classes.join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    found = digests.join(of_class, "key", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component")
+    found = digests.join(of_class, "key", "left").select("id", "n", component)
     return found.select(
         F.col("id").alias(id_col),
         F.col("n").cast("long").alias("n_shingles"),
