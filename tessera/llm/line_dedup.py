@@ -20,7 +20,7 @@ CHARS = 8
 #: Minima are cut into BANDS bands of ROWS: at a similarity of 0.8, 1 - (1 - 0.8**4)**16 = 0.9998 of pairs share one.
 BANDS, ROWS = 16, 4
 MINIMA = BANDS * ROWS
-MARGIN = 5 * (0.8 * 0.2 / MINIMA) ** 0.5
+MARGIN = 4 * (0.8 * 0.2 / MINIMA) ** 0.5
 #: Distinct lines whose signatures a task remembers to have sent.
 TASK_LINES = 500_000
 #: Characters that are hashed at once.

@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.scratch import Table, written
+from tessera.llm.scratch import written
 
 #: Members of a bucket that one task compares with as many others.
 CHUNK = 256
+#: Pairs of signatures that are compared at once.
+PAIRS = 20_000
 #: Ids that are broadcast to filter a scan, at most; more are joined.
 MOST_IDS = 1_000_000
 
@@ -36,13 +38,14 @@ class Sketches:
     fetch: (node) DataFrame -> (node, set binary): the sorted uint64 hashes of each node's set.
     estimate: of similarity; pairs below ``least`` are not checked.
     num, den: the similarity that links, as a fraction.
+    Without nodes and fetch it only says how to compare, and travels to tasks.
     """
 
-    nodes: DataFrame
+    nodes: DataFrame | None
     band_bytes: int
     bands: int
     dtype: str
-    fetch: Callable[[DataFrame], DataFrame]
+    fetch: Callable[[DataFrame], DataFrame] | None
     estimate: Estimate
     least: float
     num: int
@@ -58,10 +61,10 @@ def restrict(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
 
 def _bands(s: Sketches) -> DataFrame:
-    """(band, node): a hash of each band's number and registers."""
+    """(no, band, node): each band's number, and a hash of it and of the band's registers."""
     numbers = F.array(*[F.lit(k) for k in range(s.bands)])
     hashed = F.transform(numbers, lambda k: F.xxhash64(k, F.substring(F.col("sig"), k * s.band_bytes + 1, F.lit(s.band_bytes))))
-    return s.nodes.select("node", F.explode(hashed).alias("band"))
+    return s.nodes.select("node", F.posexplode(hashed).alias("no", "band"))
 
 
 def _registers(values: list[bytes], dtype: str) -> np.ndarray:
@@ -102,72 +105,158 @@ def _verified(s: Sketches, pairs: DataFrame) -> DataFrame:
         for f in frames:
             ok = []
             for left, right in zip(f.column(2), f.column(3), strict=True):
-                x, y = np.frombuffer(left.as_buffer(), dtype=np.uint64), np.frombuffer(right.as_buffer(), dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(den * both >= num * (len(x) + len(y) - both) and both > 0)
+                ok.append(_alike(np.frombuffer(left.as_buffer(), dtype=np.uint64), np.frombuffer(right.as_buffer(), dtype=np.uint64), num, den))
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([f.column(0).filter(mask), f.column(1).filter(mask)], names=["a", "b"])
 
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
-def _across(s: Sketches, bands: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b) of likely pairs that share a bucket and are still in different components.
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of all the ranges starts[i] .. starts[i] + sizes[i], one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames that hold whole groups, from frames in which groups follow one another."""
+    rest: pd.DataFrame | None = None
+    for frame in frames:
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        if not len(frame):
+            continue
+        last = (frame[keys] == frame[keys].iloc[-1]).all(axis=1).to_numpy()
+        cut = len(frame) - int(np.argmin(last[::-1])) if not last.all() else 0
+        if cut:
+            yield frame.iloc[:cut]
+        rest = frame.iloc[cut:]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _pairs(s: Sketches, frame: pd.DataFrame, keys: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (left, right) of likely pairs of different components in the groups of ``frame``.
+
+    Pairs are compared by their signatures, each in the first of its common
+    bands, so that no two groups find the same pair.
+    """
+    size, count, width = len(frame), s.bands, s.band_bytes // np.dtype(s.dtype).itemsize
+    no, i, j, chunk, component, n = (frame[c].to_numpy() for c in ("no", "i", "j", "chunk", "component", "n"))
+    own = frame[keys].to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]).any(axis=1)]))
+    ends = np.repeat(np.append(first[1:], size), np.diff(np.append(first, size)))
+    regs = _registers(list(frame["sig"]), s.dtype)
+    after = ends - np.arange(size) - 1
+    upto = np.concatenate([[0], np.cumsum(after)])
+    at = 0
+    while at < size:
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, side="right")) - 1)
+        left, right = np.repeat(np.arange(at, to), after[at:to]), _spread(np.arange(at, to) + 1, after[at:to])
+        at = to
+        wanted = (component[left] != component[right]) & ((i[left] == j[left]) | (chunk[left] != chunk[right]))
+        wanted &= s.den * np.minimum(n[left], n[right]) >= s.num * np.maximum(n[left], n[right])
+        left, right = left[wanted], right[wanted]
+        equal = regs[left] == regs[right]
+        # registers agree about as often as the sets do: the estimate can't be far above that
+        some = equal.mean(axis=1) >= s.least - 0.1
+        common = equal[some][:, : count * width].reshape(-1, count, width).all(axis=2)
+        left, right = left[some], right[some]
+        if len(left):
+            mine = common.argmax(axis=1) == no[left]
+            left, right = left[mine], right[mine]
+        if len(left):
+            close = s.estimate(n[left], regs[left], n[right], regs[right]) >= s.least
+            yield left[close], right[close]
+
+
+def _across(s: Sketches, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(u, v): links between components that share a bucket, as a forest of each group.
 
     Only buckets with several components are looked at. Their members are dealt
-    into chunks, and a task gets two chunks of a bucket, so that no task holds
-    more than 2 x CHUNK of them; pairs are compared by their signatures and
-    only likely ones are emitted.
+    into chunks, and a group is two chunks of a bucket, so that no more than
+    2 x CHUNK of them are ever compared at once. A first pass keeps the members
+    that have a likely partner in their group; these get their whole sets, and
+    a second pass checks their likely pairs on them. Neither emits pairs: the
+    first returns members, the second one link a member at most.
     """
-    estimate, least, num, den, dtype = s.estimate, s.least, s.num, s.den, s.dtype
-    labelled = bands.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    keys = ["band", "i", "j"]
+    labelled = members.join(labels, "node", "left").select("no", "band", "node", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("band").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     mixed = written(mixed.select("band", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "mixed")
     inside = labelled.join(mixed, "band").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = inside.withColumn("other", others).select("band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component")
-    dealt = dealt.join(s.nodes, "node")
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = frame["i"].iloc[0], frame["j"].iloc[0]
-        node, n, component = (frame[c].to_numpy() for c in ("node", "n", "component"))
-        regs = _registers(list(frame["sig"]), dtype)
-        first = np.flatnonzero(frame["chunk"].to_numpy() == i)
-        second = np.flatnonzero(frame["chunk"].to_numpy() == j)
-        out = []
-        for k in first:
-            rest = second[(component[second] != component[k]) & ((node[second] > node[k]) if i == j else True)]
-            rest = rest[den * np.minimum(n[rest], n[k]) >= num * np.maximum(n[rest], n[k])]
-            if len(rest):
-                close = rest[estimate(np.full(len(rest), n[k]), np.broadcast_to(regs[k], (len(rest), regs.shape[1])), n[rest], regs[rest]) >= least]
-                out.append(np.stack([np.minimum(node[k], node[close]), np.maximum(node[k], node[close])], axis=1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return dealt.groupBy("band", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    dealt = inside.withColumn("other", others).select("no", "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component")
+    dealt = dealt.join(s.nodes, "node").select(*keys, "no", "chunk", "node", "component", "n", "sig")
+    slim = Sketches(None, s.band_bytes, s.bands, s.dtype, None, s.estimate, s.least, s.num, s.den)
+
+    def likely(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _groups(frames, keys):
+            found = [np.concatenate(p) for p in _pairs(slim, frame, keys)]
+            if found:
+                yield frame.iloc[np.unique(np.concatenate(found))]
+
+    def linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _groups(frames, keys):
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in frame["set"]]
+            forest = Forest(len(frame))
+            for left, right in _pairs(slim, frame, keys):
+                for x, y in zip(left.tolist(), right.tolist(), strict=True):
+                    if forest.root(x) != forest.root(y) and _alike(sets[x], sets[y], slim.num, slim.den):
+                        forest.join(x, y)
+            node = frame["node"].to_numpy()
+            roots = np.array([forest.root(x) for x in range(len(frame))], dtype=np.int64)
+            own = roots != np.arange(len(frame))
+            yield pd.DataFrame({"u": node[own], "v": node[roots[own]]})
+
+    some = written(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(likely, dealt.schema), "across")
+    sets = written(s.fetch(some.select("node").distinct()), "sets")
+    whole = some.join(sets, "node").repartition(*keys).sortWithinPartitions(*keys)
+    return whole.mapInPandas(linked, "u long, v long")
+
+
+class Forest:
+    """Union-find over the members of one group."""
+
+    def __init__(self, size: int):
+        self.up = list(range(size))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+
+
+def _alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether the similarity of two sorted sets is num / den or more."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and den * both >= num * (len(x) + len(y) - both)
 
 
 def link(s: Sketches) -> DataFrame:
     """(node, component) of all linked nodes; nodes without a link are left out.
 
-    Nodes that share a band fall into a bucket. First each is paired with the
-    smallest node of its bucket, and of its likely pairs the likeliest is
-    checked on whole sets; that already joins groups of near copies, however
-    large, with one checked pair a node. Then the remaining likely pairs across
-    components, in all buckets, are checked too. So no pair that shares a band
-    is left out that could join two components, and pairs inside a component,
-    which can't change it, are never made.
+    Nodes that share a band fall into a bucket. First each is paired with one
+    node, of those that are the smallest of a bucket the one in most of its
+    buckets, and checked on whole sets if likely; that already joins groups of
+    near copies, however large, with one checked pair a node. Then the likely
+    pairs across components, in all buckets, are checked too. So no pair that
+    shares a band is left out that could join two components, and pairs inside
+    a component, which can't change it, are never made.
     """
     bands = _bands(s)
     least_of = bands.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("band", "a")
-    star = bands.join(least_of, "band").where("node > a").select("a", F.col("node").alias("b")).distinct()
-    scored = written(_score(s, star), "scored")
-    best = scored.groupBy("b").agg(F.max(F.struct("estimate", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
-    first = written(_verified(s, written(best, "best")), "links")
-    labels = written(components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
-    rest = written(_across(s, bands, labels), "across")
-    if rest.isEmpty():
+    members = written(bands.join(least_of, "band").select("no", "band", "node", "a"), "members")
+    star = members.where("node > a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("shared"))
+    best = star.groupBy("b").agg(F.max(F.struct("shared", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
+    scored = written(_score(s, best), "scored")
+    first = written(_verified(s, scored).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    labels = written(components(first), "labels")
+    second = written(_across(s, members, labels), "links")
+    if second.isEmpty():
         return labels
-    second = _verified(s, rest)
-    every = first.union(second)
-    return components(every.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return components(first.union(second))

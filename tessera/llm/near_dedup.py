@@ -17,11 +17,12 @@ from tessera.llm.scratch import written
 
 #: Registers are cut into BANDS bands of ROWS: at a similarity of 0.8, 1 - (1 - 0.8**5)**32 = 0.999997 of pairs share one.
 BANDS, ROWS = 32, 5
-REGISTERS = BANDS * ROWS
+#: Registers, those of the bands first; the rest only sharpen the estimates.
+REGISTERS = 256
 #: Base and rate of the registers, and their greatest value.
 BASE, RATE, TOP = 1.02, 20.0, 60_000
-#: Five standard deviations of an estimate from so many registers, at 0.8.
-MARGIN = 5 * (0.8 * 0.2 / REGISTERS) ** 0.5
+#: Four standard deviations of an estimate from so many registers, at 0.8.
+MARGIN = 4 * (0.8 * 0.2 / REGISTERS) ** 0.5
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ODD = np.random.default_rng(20_240_601).integers(1, 2**63, size=(REGISTERS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
