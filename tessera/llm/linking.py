@@ -18,7 +18,7 @@ from tessera.llm.components import components
 from tessera.llm.scratch import written
 
 #: Members of a bucket that one task compares with as many others.
-CHUNK = 256
+CHUNK = 1_024
 #: Pairs of signatures that are compared at once.
 PAIRS = 20_000
 #: Ids that are broadcast to filter a scan, at most; more are joined.
