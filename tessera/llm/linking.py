@@ -21,6 +21,8 @@ from tessera.llm.scratch import written
 CHUNK = 1_024
 #: Pairs of signatures that are compared at once.
 PAIRS = 20_000
+#: Buckets of several nodes that are broadcast to find their members, at most: 8 bytes each; more are joined.
+MOST_BUCKETS = 2_000_000
 #: Ids that are broadcast to filter a scan, at most; more are joined.
 MOST_IDS = 1_000_000
 
@@ -240,7 +242,8 @@ def _alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 def link(s: Sketches) -> DataFrame:
     """(node, component) of all linked nodes; nodes without a link are left out.
 
-    Nodes that share a band fall into a bucket. First each is paired with one
+    Nodes that share a band fall into a bucket; most bands are a node's own,
+    and are left out as soon as they are counted. First each is paired with one
     node, of those that are the smallest of a bucket the one in most of its
     buckets, and checked on whole sets if likely; that already joins groups of
     near copies, however large, with one checked pair a node. Then the likely
@@ -249,9 +252,12 @@ def link(s: Sketches) -> DataFrame:
     a component, which can't change it, are never made.
     """
     bands = _bands(s)
-    least_of = bands.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("band", "a")
-    members = written(bands.join(least_of, "band").select("no", "band", "node", "a"), "members")
-    star = members.where("node > a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("shared"))
+    shared = written(bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band"), "buckets")
+    if shared.count() <= MOST_BUCKETS:
+        shared = F.broadcast(shared)
+    members = written(bands.join(shared, "band", "left_semi").select("no", "band", "node"), "members")
+    least_of = members.groupBy("band").agg(F.min("node").alias("a"))
+    star = members.join(least_of, "band").where("node > a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("shared"))
     best = star.groupBy("b").agg(F.max(F.struct("shared", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
     scored = written(_score(s, best), "scored")
     first = written(_verified(s, scored).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
