@@ -12,6 +12,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 LEVEL_BITS, HASH_BITS = 10, 60
 #: Sources whose totals are ranked and shared out in one task; more is an error, never a cut.
 MAX_SOURCES = 1_000_000
+#: Sources whose limits are broadcast; those of more are joined.
+BROADCAST_SOURCES = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -104,11 +106,13 @@ def take_mix(
 ) -> DataFrame:
     """The rows of ``docs`` that the mix takes, as often as it takes them; columns unchanged.
 
-    Texts are not shuffled: a row finds its copies by its hash and the limits
-    of its source.
+    A row finds its copies by its hash and the limits of its source. These are
+    broadcast if their counted number allows it, so that texts are not shuffled.
     """
     rows = written(docs.select(*_measures(id_col, text_col, source_col)), "mix-rows")
-    of = _plan(rows, weights, share, most).select(F.col("source").alias("_of"), "copies", "rest", "at", "joins")
+    of = written(_plan(rows, weights, share, most).select(F.col("source").alias("_of"), "copies", "rest", "at", "joins"), "mix-plan")
+    if of.count() <= BROADCAST_SOURCES:
+        of = F.broadcast(of)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
     hashed = docs.select(whole, F.col(source_col).alias("_source"), _hash(F.col(id_col), F.col(text_col)).alias("hash"))
     found = hashed.join(of, F.col("_source").eqNullSafe(F.col("_of"))).where(_copies() > 0)
