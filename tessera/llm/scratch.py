@@ -30,6 +30,20 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are written."""
+    _delete(spark, _own_dir(spark))
+
+
 class Table:
     """A DataFrame written to the shared folder, which cuts its lineage.
 
@@ -38,17 +52,14 @@ class Table:
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/tessera/{name}-{uuid.uuid4().hex}"
+        self.path = f"{_own_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         _release(self.spark)
 
     def drop(self) -> None:
         """Delete the files; only for tables that no lazy result reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        path.getFileSystem(conf).delete(path, True)
+        _delete(self.spark, self.path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -14,6 +14,7 @@ from tessera.llm.decontamination import find_leaks
 from tessera.llm.embedding_dedup import near_embeddings
 from tessera.llm.line_dedup import dedup_lines, line_classes, line_set, signatures
 from tessera.llm.near_dedup import drop_near_duplicates, joint_estimate, near_duplicates, registers, shingle_set
+from tessera.llm.scratch import Table, shared_dir, sweep
 from tessera.llm.shipping import ship
 from tests.llm.helpers import Union, jaccard_components, word_shingles
 
@@ -120,6 +121,15 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_sweep_deletes_intermediate_tables(spark):
+    own = Table(spark.range(5).toDF("n"), "numbers")
+    assert own.path.startswith(shared_dir(spark))
+    assert own.df.count() == 5
+    sweep(spark)
+    with pytest.raises(Exception, match="(?i)exist|not.found"):
+        spark.read.parquet(own.path)
+
+
 def test_line_signatures_agree_with_sets():
     rng = random.Random(6)
     lines = ["", "a", "abcdefg", "abcdefgh", "x" * 40_000, *["".join(rng.choice("abc ") for _ in range(rng.randint(1, 300))) for _ in range(50)]]
