@@ -6,7 +6,7 @@ Shared by the operators that compare sets of shingles.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -189,7 +189,7 @@ def _across(s: Sketches, members: DataFrame, labels: DataFrame) -> DataFrame:
     others = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     dealt = inside.withColumn("other", others).select("no", "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component")
     dealt = dealt.join(s.nodes, "node").select(*keys, "no", "chunk", "node", "component", "n", "sig")
-    slim = Sketches(None, s.band_bytes, s.bands, s.dtype, None, s.estimate, s.least, s.num, s.den)
+    slim = replace(s, nodes=None, fetch=None)
 
     def likely(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _groups(frames, keys):
@@ -256,6 +256,8 @@ def link(s: Sketches) -> DataFrame:
     if shared.count() <= MOST_BUCKETS:
         shared = F.broadcast(shared)
     members = written(bands.join(shared, "band", "left_semi").select("no", "band", "node"), "members")
+    # only nodes that share a band are ever compared: their signatures alone are joined from here on
+    s = replace(s, nodes=written(restrict(s.nodes, members.select("node").distinct(), "node"), "active"))
     least_of = members.groupBy("band").agg(F.min("node").alias("a"))
     star = members.join(least_of, "band").where("node > a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("shared"))
     best = star.groupBy("b").agg(F.max(F.struct("shared", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
