@@ -50,6 +50,11 @@ def line_set(line: str) -> np.ndarray:
     return np.unique(_shingles(_codes(line).astype(np.uint64)))
 
 
+def _stored_set(stored: bytes) -> np.ndarray:
+    """Set of a line that travelled as text, an eighth of the size of its hashes."""
+    return line_set(stored.decode("utf-8", "surrogatepass"))
+
+
 def signatures(lines: list[str]) -> list[bytes]:
     """MinHash signatures, 16 bits a minimum, of many lines at once."""
     out, at = [], 0
@@ -147,7 +152,7 @@ def line_classes(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "
                     for a in asked:
                         line = lines.get(a["line_no"])
                         if line is not None and xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")) == a["key"]:
-                            rows.append((a["node"], line_set(line).tobytes()))
+                            rows.append((a["node"], line.encode("utf-8", "surrogatepass")))
                 yield from batches(rows, StructType([StructField("node", LongType()), StructField("set", BinaryType())]))
 
         asked = nodes.join(wanted, "node", "left_semi").groupBy(F.col("first.id").alias("asked_id")).agg(F.collect_list(F.struct("node", F.col("first.line_no").alias("line_no"), "key")).alias("asked"))
@@ -156,7 +161,7 @@ def line_classes(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "
         joined = texts.join(asked, texts["id"] == F.col("asked_id")).select("text", "asked")
         return joined.mapInArrow(sets, "node long, set binary").dropDuplicates(["node"])
 
-    labels = link(Sketches(nodes.select("node", "n", "sig"), ROWS * 2, BANDS, "<u2", fetch, equal_share, num / den - MARGIN, num, den))
+    labels = link(Sketches(nodes.select("node", "n", "sig"), ROWS * 2, BANDS, "<u2", fetch, equal_share, num / den - MARGIN, num, den, _stored_set))
     linked = labels.join(nodes.select("node", "key", "first"), "node")
     firsts = linked.groupBy("component").agg(F.min("first").alias("winner"))
     of_key = first.join(linked.join(firsts, "component").select("key", "winner"), "key", "left").select("key", F.coalesce("winner", "first").alias("winner"))

@@ -30,6 +30,10 @@ MOST_IDS = 1_000_000
 Estimate = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
+def hashes(stored: bytes) -> np.ndarray:
+    return np.frombuffer(stored, dtype=np.uint64)
+
+
 @dataclass(frozen=True)
 class Sketches:
     """Nodes to link, and how to compare them.
@@ -37,7 +41,7 @@ class Sketches:
     nodes: (node long, n int, sig binary), one row a node.
     band_bytes: the signature is cut into bands of so many bytes.
     dtype: of a register of the signature.
-    fetch: (node) DataFrame -> (node, set binary): the sorted uint64 hashes of each node's set.
+    fetch: (node) DataFrame -> (node, set binary): what ``decode`` makes the sorted uint64 hashes of a node's set from.
     estimate: of similarity; pairs below ``least`` are not checked.
     num, den: the similarity that links, as a fraction.
     Without nodes and fetch it only says how to compare, and travels to tasks.
@@ -52,6 +56,7 @@ class Sketches:
     least: float
     num: int
     den: int
+    decode: Callable[[bytes], np.ndarray] = hashes
 
 
 def restrict(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -98,7 +103,7 @@ def _score(s: Sketches, pairs: DataFrame) -> DataFrame:
 
 def _verified(s: Sketches, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets have the similarity that links."""
-    num, den = s.num, s.den
+    num, den, decode = s.num, s.den, s.decode
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = written(s.fetch(wanted), "sets")
     side = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"s{x}"))
@@ -107,7 +112,7 @@ def _verified(s: Sketches, pairs: DataFrame) -> DataFrame:
         for f in frames:
             ok = []
             for left, right in zip(f.column(2), f.column(3), strict=True):
-                ok.append(_alike(np.frombuffer(left.as_buffer(), dtype=np.uint64), np.frombuffer(right.as_buffer(), dtype=np.uint64), num, den))
+                ok.append(_alike(decode(left.as_py()), decode(right.as_py()), num, den))
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([f.column(0).filter(mask), f.column(1).filter(mask)], names=["a", "b"])
 
@@ -199,7 +204,7 @@ def _across(s: Sketches, members: DataFrame, labels: DataFrame) -> DataFrame:
 
     def linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _groups(frames, keys):
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in frame["set"]]
+            sets = [slim.decode(x) for x in frame["set"]]
             forest = Forest(len(frame))
             for left, right in _pairs(slim, frame, keys):
                 for x, y in zip(left.tolist(), right.tolist(), strict=True):
