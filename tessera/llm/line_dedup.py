@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +16,13 @@ from tessera.llm.arrow import batches
 from tessera.llm.linking import Sketches, link, restrict
 from tessera.llm.scratch import Table, written
 
-#: Characters of a shingle; a shorter line is one shingle.
+#: Characters of a shingle unless the caller says; a shorter line is one shingle.
 CHARS = 8
-#: Minima are cut into BANDS bands of ROWS: at a similarity of 0.8, 1 - (1 - 0.8**4)**16 = 0.9998 of pairs share one.
-BANDS, ROWS = 16, 4
+#: Characters at which one changed character leaves a line of 39 or more linked at 0.8; it costs up to so many shingles of each line.
+EDIT_CHARS = 4
+#: Minima are cut into BANDS bands of ROWS: at a similarity of 0.8, 1 - (1 - 0.8**5)**22 = 0.9998 of pairs share one.
+#: Short shingles are common to many lines: bands of 4 would pair 5 times as many that are far apart.
+BANDS, ROWS = 22, 5
 MINIMA = BANDS * ROWS
 MARGIN = 4 * (0.8 * 0.2 / MINIMA) ** 0.5
 #: Distinct lines whose signatures a task remembers to have sent.
@@ -29,54 +33,54 @@ _STEP = 1 << 15
 _ODD = (np.random.default_rng(20_240_602).integers(1, 2**31, size=(MINIMA, 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
 
 
-def _shingles(codes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the shingles that begin at each of ``codes`` but the last CHARS - 1."""
-    n = len(codes) - CHARS + 1
-    hashed = np.full(max(n, 0), CHARS, dtype=np.uint64)
-    for k in range(CHARS if n > 0 else 0):
+def _shingles(codes: np.ndarray, chars: int) -> np.ndarray:
+    """64-bit hashes of the shingles that begin at each of ``codes`` but the last chars - 1."""
+    n = len(codes) - chars + 1
+    hashed = np.full(max(n, 0), chars, dtype=np.uint64)
+    for k in range(chars if n > 0 else 0):
         hashed = (hashed ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         hashed ^= hashed >> np.uint64(32)
     return hashed
 
 
-def _codes(line: str) -> np.ndarray:
+def _codes(line: str, chars: int) -> np.ndarray:
     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     # a short line is filled up with a value that is no character, so that it has one shingle
-    return np.concatenate([codes, np.full(CHARS - len(codes), 0xFFFFFFFF, dtype=np.uint32)]) if len(codes) < CHARS else codes
+    return np.concatenate([codes, np.full(chars - len(codes), 0xFFFFFFFF, dtype=np.uint32)]) if len(codes) < chars else codes
 
 
-def line_set(line: str) -> np.ndarray:
+def line_set(line: str, chars: int = CHARS) -> np.ndarray:
     """Sorted hashes of the distinct shingles of a line."""
-    return np.unique(_shingles(_codes(line).astype(np.uint64)))
+    return np.unique(_shingles(_codes(line, chars).astype(np.uint64), chars))
 
 
-def _stored_set(stored: bytes) -> np.ndarray:
+def _stored_set(stored: bytes, chars: int) -> np.ndarray:
     """Set of a line that travelled as text, an eighth of the size of its hashes."""
-    return line_set(stored.decode("utf-8", "surrogatepass"))
+    return line_set(stored.decode("utf-8", "surrogatepass"), chars)
 
 
-def signatures(lines: list[str]) -> list[bytes]:
+def signatures(lines: list[str], chars: int = CHARS) -> list[bytes]:
     """MinHash signatures, 16 bits a minimum, of many lines at once."""
     out, at = [], 0
     while at < len(lines):
         group, size = [], 0
         while at < len(lines) and (not group or size + len(lines[at]) <= _STEP):
-            group.append(_codes(lines[at]))
+            group.append(_codes(lines[at], chars))
             size += len(group[-1])
             at += 1
         if len(group) == 1 and size > _STEP:
             least = np.full(MINIMA, 0xFFFFFFFF, dtype=np.uint32)
-            for a in range(0, size - CHARS + 1, _STEP):
-                least = np.minimum(least, _minima(_shingles(group[0][a : a + _STEP + CHARS - 1].astype(np.uint64)), np.zeros(1, dtype=np.int64))[0])
+            for a in range(0, size - chars + 1, _STEP):
+                least = np.minimum(least, _minima(_shingles(group[0][a : a + _STEP + chars - 1].astype(np.uint64), chars), np.zeros(1, dtype=np.int64))[0])
             found = least[None, :]
         else:
             sizes = np.array([len(g) for g in group])
             starts = np.cumsum(sizes) - sizes
-            hashed = _shingles(np.concatenate(group).astype(np.uint64))
+            hashed = _shingles(np.concatenate(group).astype(np.uint64), chars)
             inside = np.ones(len(hashed), dtype=bool)
-            for back in range(1, CHARS):
+            for back in range(1, chars):
                 inside[starts[1:] - back] = False
-            counts = sizes - CHARS + 1
+            counts = sizes - chars + 1
             found = _minima(hashed[inside], np.cumsum(counts) - counts)
         out += [row.tobytes() for row in (found >> np.uint32(16)).astype("<u2")]
     return out
@@ -102,11 +106,11 @@ def _lines(text: str | None) -> list[tuple[int, str]]:
     return [(k, own) for k, line in enumerate((text or "").split("\n")) if (own := line.strip())]
 
 
-def line_classes(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_classes(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", chars: int = CHARS) -> DataFrame:
     """(id, line_no, first_id, first_line_no, kept) of every line that is not blank.
 
-    Lines are linked if the Jaccard similarity of their character-shingle sets
-    is num / den or more. The first line of a component, by id and number, is
+    Lines are linked if the Jaccard similarity of their sets of shingles of
+    ``chars`` characters is num / den or more. The first line of a component, by id and number, is
     kept. Equal lines are one node, found by a 128-bit hash, so a line that a
     third of all documents share is never paired with itself.
 
@@ -132,7 +136,7 @@ def line_classes(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "
                             sent.add(key)
                             fresh.append((len(rows), line))
                         rows.append((id_, number, key, None))
-                for (k, _), sig in zip(fresh, signatures([line for _, line in fresh]), strict=True):
+                for (k, _), sig in zip(fresh, signatures([line for _, line in fresh], chars), strict=True):
                     rows[k] = (*rows[k][:3], sig)
                 yield from batches(rows, schema)
 
@@ -161,7 +165,7 @@ def line_classes(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "
         joined = texts.join(asked, texts["id"] == F.col("asked_id")).select("text", "asked")
         return joined.mapInArrow(sets, "node long, set binary").dropDuplicates(["node"])
 
-    labels = link(Sketches(nodes.select("node", "n", "sig"), ROWS * 2, BANDS, "<u2", fetch, equal_share, num / den - MARGIN, num, den, _stored_set))
+    labels = link(Sketches(nodes.select("node", "n", "sig"), ROWS * 2, BANDS, "<u2", fetch, equal_share, num / den - MARGIN, num, den, partial(_stored_set, chars=chars)))
     linked = labels.join(nodes.select("node", "key", "first"), "node")
     firsts = linked.groupBy("component").agg(F.min("first").alias("winner"))
     of_key = first.join(linked.join(firsts, "component").select("key", "winner"), "key", "left").select("key", F.coalesce("winner", "first").alias("winner"))
@@ -170,12 +174,12 @@ def line_classes(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "
     return judged.select(F.col("id").alias(id_col), "line_no", F.col("winner.id").alias("first_id"), F.col("winner.line_no").alias("first_line_no"), kept.alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", chars: int = CHARS) -> DataFrame:
     """``docs`` with the lines that are not kept taken out of the text; columns and rows stay.
 
     Blank lines stay, and so do rows with a null id or text.
     """
-    gone = line_classes(docs, num, den, id_col, text_col).where("not kept").groupBy(F.col(id_col).alias("_id")).agg(F.collect_list("line_no").alias("_gone"))
+    gone = line_classes(docs, num, den, id_col, text_col, chars).where("not kept").groupBy(F.col(id_col).alias("_id")).agg(F.collect_list("line_no").alias("_gone"))
     lines = F.filter(F.split(F.col(text_col), "\n"), lambda _, k: ~F.array_contains("_gone", k))
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
     return docs.join(gone, docs[id_col] == F.col("_id"), "left").select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.decontamination import find_leaks
 from tessera.llm.embedding_dedup import near_embeddings
 from tessera.llm.language_id import identify
-from tessera.llm.line_dedup import line_classes
+from tessera.llm.line_dedup import EDIT_CHARS, line_classes
 from tessera.llm.mixing import mix_sources
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.secrets import find_secrets
@@ -45,7 +45,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_classes(table(spark, sf_dir, "documents"))
+    return line_classes(table(spark, sf_dir, "documents"), chars=EDIT_CHARS)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

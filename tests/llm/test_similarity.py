@@ -14,6 +14,7 @@ from tessera.llm.decontamination import find_leaks
 from tessera.llm.embedding_dedup import near_embeddings
 from tessera.llm.line_dedup import dedup_lines, line_classes, line_set, signatures
 from tessera.llm.near_dedup import drop_near_duplicates, joint_estimate, near_duplicates, registers, shingle_set
+from tessera.llm.queries import op4_line_dedup
 from tessera.llm.scratch import Table, shared_dir, sweep
 from tessera.llm.shipping import ship
 from tests.llm.helpers import Union, jaccard_components, word_shingles
@@ -195,6 +196,23 @@ def test_dedup_lines(line_docs):
     assert line_classes(line_docs.limit(0)).count() == 0
 
 
+def test_one_changed_character_in_short_lines(spark, tmp_path):
+    """op4 against brute force over 4-character shingles made without the operator's code."""
+    ship(spark)
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefghijklmnop") for _ in range(n)) for n in range(20, 81) for _ in range(3)]
+    edited = []
+    for line in base:
+        at = rng.randrange(len(line))
+        edited.append(line[:at] + rng.choice("XYZ") + line[at + 1 :])
+    spark.createDataFrame([(1, "\n".join(base)), (2, "\n".join(edited))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    near = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    grams = lambda line: {line[k : k + 4] for k in range(len(line) - 3)}
+    found = {r.line_no: (r.first_id, r.first_line_no) for r in op4_line_dedup(spark, str(tmp_path)).where("doc_id = 2").collect()}
+    assert found == {k: (1, k) if near(grams(a), grams(b)) else (2, k) for k, (a, b) in enumerate(zip(base, edited, strict=True))}
+    assert all(found[k] == (1, k) for k, line in enumerate(base) if len(line) >= 40)
+
+
 def _near_vectors(rows, least):
     ok = [r for r in rows if r[0] is not None and r[2] is not None and r[1] and all(x is not None for x in r[1]) and np.isfinite(r[1]).all() and np.any(r[1])]
     ids = sorted({r[0] for r in rows if r[0] is not None})
