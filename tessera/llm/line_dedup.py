@@ -24,7 +24,8 @@ EDIT_CHARS = 4
 #: Short shingles are common to many lines: bands of 4 would pair 5 times as many that are far apart.
 BANDS, ROWS = 22, 5
 MINIMA = BANDS * ROWS
-MARGIN = 4 * (0.8 * 0.2 / MINIMA) ** 0.5
+#: Five standard deviations of an estimate from so many minima, at 0.8.
+MARGIN = 5 * (0.8 * 0.2 / MINIMA) ** 0.5
 #: Distinct lines whose signatures a task remembers to have sent.
 TASK_LINES = 500_000
 #: Characters that are hashed at once.

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+from math import comb
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tessera.llm import line_dedup, near_dedup
 from tessera.llm.components import components
 from tessera.llm.decontamination import find_leaks
 from tessera.llm.embedding_dedup import near_embeddings
@@ -103,6 +105,12 @@ def test_joint_estimate():
         assert np.std(errors) < 0.07
 
 
+@pytest.mark.parametrize(("count", "margin"), [(near_dedup.REGISTERS, near_dedup.MARGIN), (line_dedup.MINIMA, line_dedup.MARGIN)], ids=["documents", "lines"])
+def test_estimates_lose_few_pairs(count, margin):
+    """The exact binomial probability that the estimate of a pair at 0.8 falls below the margin."""
+    assert sum(comb(count, k) * 0.8**k * 0.2 ** (count - k) for k in range(count + 1) if k / count < 0.8 - margin) < 1e-5
+
+
 def test_registers_are_mergeable():
     a, b = shingle_set(b"a b c d e f", 2), shingle_set(b"d e f g h", 2)
     assert (registers(np.union1d(a, b)) == np.maximum(registers(a), registers(b))).all()
