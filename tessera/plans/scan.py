@@ -97,6 +97,25 @@ def fd79_code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FD.find(files, CODE_RULES).select("file", "rule", "category", "severity", F.array_join("axes", "/").alias("axes"), "description")
 
 
+_RULE_ROWS = [(r.id, r.category, r.severity, "/".join(r.axes)) for r in CODE_RULES]
+
+
+@register(
+    f"""WITH {FILES_SQL}, counted AS (SELECT *, {FD.count_constructs_sql(CODE_COUNTERS)} FROM files), found AS ({FD.find_sql(CODE_RULES)}),
+    rules AS (SELECT * FROM {dims.values_sql('rule, category, severity, axes', _RULE_ROWS)})
+    SELECT file, rule, category, severity, array_to_string(axes, '/') AS axes, description FROM found
+    UNION ALL SELECT NULL, rule, category, severity, axes, NULL FROM rules WHERE rule NOT IN (SELECT rule FROM found)"""
+)
+def fd79_document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules W01 to W79 over every document, in the language of its path; a rule that none breaks has one row without a file."""
+    files = FD.count_constructs(bindings.files(spark, sf_dir), CODE_COUNTERS)
+    broken = FD.find(files, CODE_RULES).select("file", "rule", "category", "severity", F.array_join("axes", "/").alias("axes"), "description")
+    rules = dims.values(spark, "rule, category, severity, axes", _RULE_ROWS)
+    kept = rules.join(broken.select("rule").distinct(), "rule", "left_anti")
+    none = F.lit(None).cast("string")
+    return broken.unionByName(kept.withColumns({"file": none, "description": none}))
+
+
 @register(
     f"""SELECT page_id, greatest((len(regexp_extract_all(url, 'http://')) - len(regexp_extract_all(url, '{LOCAL}'))), 0)::BIGINT AS insecure,
     (len(regexp_extract_all(html, 'http://')))::BIGINT AS in_page FROM pages WHERE contains(url, 'http://')"""

@@ -9,7 +9,7 @@ from tessera.functions import dims, text
 from tessera.operators import bridge, mutations, rust_strings, search, signatures
 from tessera.operators.mutations import Operation
 from tessera.plans.registry import register
-from tessera.sources import readers
+from tessera.sources import bindings, readers
 from tessera.sources.bindings import table
 from tessera.streaming import events as streaming
 
@@ -47,12 +47,9 @@ def st01_st05_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-RUST = [("a", 'let s = "unsafe { x }"; unsafe { y }'), ("b", 'r#"transmute("x")"# + b"y\\"z" + \'q\''), ("c", "// \"comment\" it's x"), ("d", 'br##"a"# b"## end'), ("e", "'a' 'static '\\n'")]
-
-
 @register()
 def st06_rust_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dims.values(spark, "id, source", RUST).select("id", rust_strings.stripped()("source").alias("stripped"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), rust_strings.stripped()("text").alias("stripped"))
 
 
 @register("SELECT p_partkey, p_name, levenshtein(p_name, 'blue bolt') AS distance FROM part WHERE levenshtein(p_name, 'blue bolt') <= 4")
@@ -63,6 +60,7 @@ def st12_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LOGS = [("x", "all fine\nPermision denied\nsegmentation falt here\nwarning: memory leek\n"), ("y", "Permission Denied!\n\nfatal eror"), ("z", "")]
 _WORDS = ["permission denied", "error", "memory leak"]
+CONVERSATION_WORDS = [*_WORDS, "question"]
 _SIZES = sorted({max(1, len(w) + d) for w in _WORDS for d in range(-2, 3)})
 
 
@@ -90,6 +88,13 @@ def st13_agrep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.agrep(dims.values(spark, "id, content", _LOGS), _WORDS, 2)
 
 
+@register()
+def st13_agrep_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy grep over every line of the conversations."""
+    logs = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), F.col("text").alias("content"))
+    return search.agrep(logs, CONVERSATION_WORDS, 2).select("id.conv_id", "id.turn", "mode", "pattern", "line_no", "line", "distance")
+
+
 @register(
     """WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations)
     SELECT conv_id, turn, count(*) AS hits FROM l WHERE contains(lower(line), 'ing') OR contains(lower(line), 'ung') GROUP BY ALL"""
@@ -127,12 +132,11 @@ COMBOS = {
     "auth-bypass-token-swap": [Operation("swap", "allow", "deny"), Operation("swap", "permit", "reject")],
     "dup-dangerous-calls": [Operation("duplicate_lines", "exec", times=1), Operation("duplicate_lines", "eval", times=1)],
 }
-_CODE = [("a.rs", "let a = true;\nif a == b { allow() }\ndeny(); eval(x)"), ("b.rs", "guard x\nreturn >= 2"), ("c.rs", "plain")]
 
 
 @register()
 def st20_st21_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mutations.mutate(dims.values(spark, "file, content", _CODE), COMBOS)
+    return mutations.mutate(bindings.files(spark, sf_dir).select(F.col("path").alias("file"), "content"), COMBOS)
 
 
 @register("SELECT doc_id, replace(text, 'the', 'THE') AS mutated, ((length(text) - length(replace(text, 'the', ''))) // 3)::BIGINT AS changes FROM documents WHERE contains(text, 'the')")

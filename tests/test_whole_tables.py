@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tessera.operators import rust_strings
 from tessera.plans.registry import registered
+from tessera.plans.text_queries import COMBOS, CONVERSATION_WORDS
 
 QUERIES = registered()
 
@@ -18,3 +20,57 @@ def test_closure_of_every_line(spark, tmp_path):
     assert (1, 70_003) in reach
     found = [(r.a0, r.a1) for r in QUERIES["jn04_lg05_closure_whole"].run(spark, str(tmp_path)).collect()]
     assert sorted(found) == sorted((f"n{a}", f"n{b}") for a, b in reach)
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_fuzzy_grep_of_conversations(spark, tmp_path):
+    rows = [(1, 0, "all fine\nPermision denied\nwarning: memory leek\n"), (1, 1, "fatal eror"), (2, 0, ""), (3, 0, None), (3, 1, "a qestion")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {(r.conv_id, r.turn, r.line_no, r.pattern, r.distance) for r in QUERIES["st13_agrep_conversations"].run(spark, str(tmp_path)).collect()}
+    want = set()
+    for conv, turn, text in rows:
+        for k, line in enumerate((text or "").lower().split("\n"), 1):
+            for word in CONVERSATION_WORDS:
+                pieces = [line[i : i + n] for n in range(len(word) - 2, len(word) + 3) for i in range(max(len(line) - n, 0) + 1)]
+                least = min(_edits(x, word) for x in [*pieces, *line.split()])
+                want |= {(conv, turn, k, word, least)} if least <= 2 else set()
+    assert found == want
+    assert {(1, 0, 2, "permission denied", 1), (1, 0, 3, "memory leak", 1), (1, 1, 1, "error", 1), (3, 1, 1, "question", 1)} <= found
+
+
+def _documents(spark, folder, texts):
+    rows = [(k, text, "en", "s") for k, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(folder / "documents.parquet"))
+    return str(folder)
+
+
+def test_every_document_is_stripped(spark, tmp_path):
+    texts = ['let s = "unsafe { x }"; unsafe { y }', 'r#"transmute("x")"# + b"y\\"z" + \'q\'', "// \"comment\" it's x", 'br##"a"# b"## end', "'a' 'static '\\n'", "plain", "", None]
+    strip = rust_strings.stripper()
+    found = {r.id: r.stripped for r in QUERIES["st06_rust_strings"].run(spark, _documents(spark, tmp_path, texts)).collect()}
+    assert found == {k: None if t is None else strip(t) for k, t in enumerate(texts)}
+    assert found[0] == "let s = ; unsafe { y }"
+
+
+def test_every_document_is_mutated(spark, tmp_path):
+    texts = ["let a = true;\nif a == b { allow() }\ndeny(); eval(x)", "guard x\nreturn >= 2", "plain"]
+    found = {(r.file, r.combo): r.mutated for r in QUERIES["st20_st21_mutations"].run(spark, _documents(spark, tmp_path, texts)).collect()}
+    assert sorted(c for f, c in found if f.endswith("doc_0.rs")) == sorted(COMBOS)
+    assert found[("s/en/doc_1.rs", "comparison-flip")] == "guard x\nreturn <= 2"
+    assert {c for f, c in found if f.endswith("doc_2.rs")} == {"mutation-marker"}
+
+
+def test_rules_of_every_document(spark, tmp_path):
+    texts = ["see http://example.com", 'password = "hunter2hunter2"', " ".join(["TODO"] * 11), "std::mem::forget(x)", "nothing"]
+    found = {(r.file, r.rule) for r in QUERIES["fd79_document_findings"].run(spark, _documents(spark, tmp_path, texts)).collect() if r.file}
+    assert {("s/en/doc_0.rs", "W77"), ("s/en/doc_1.rs", "W78"), ("s/en/doc_2.rs", "W79")} <= found
+    assert any(f == "s/en/doc_3.rs" for f, _ in found)
+    assert not any(f == "s/en/doc_4.rs" for f, _ in found)
