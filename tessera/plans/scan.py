@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import dims, text
 from tessera.operators import findings as FD
 from tessera.operators import scoring
-from tessera.operators.packs import CODE_COUNTERS, CODE_RULES, LOCAL
+from tessera.operators.packs import CODE_COUNTERS, CODE_RULES, HTTP, LOCAL
+from tessera.operators.rust_strings import strip_sql
 from tessera.plans.common import BASE, counted, found, scored
 from tessera.plans.registry import register
 from tessera.sources import bindings, sinks
@@ -87,13 +88,14 @@ SNIPPETS = [
 @register(
     f"""WITH languages AS (SELECT * FROM {dims.values_sql('ext, language, family', dims.language_rows())}),
     raw AS (SELECT *, regexp_extract(path, '[^/]\\.([^./]+)$', 1) AS ext FROM {dims.values_sql('repo, path, content', SNIPPETS)}),
-    files AS (SELECT raw.*, coalesce(language, 'unknown') AS language FROM raw LEFT JOIN languages USING (ext)),
+    plain AS (SELECT raw.*, coalesce(language, 'unknown') AS language FROM raw LEFT JOIN languages USING (ext)),
+    files AS (SELECT *, CASE WHEN language = 'rust' THEN {strip_sql('content')} END AS code FROM plain),
     counted AS (SELECT *, {FD.count_constructs_sql(CODE_COUNTERS)} FROM files),
     found AS ({FD.find_sql(CODE_RULES)})
     SELECT file, rule, category, severity, array_to_string(axes, '/') AS axes, description FROM found"""
 )
 def fd79_code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = FD.count_constructs(bindings.with_language(dims.values(spark, "repo, path, content", SNIPPETS)), CODE_COUNTERS)
+    files = FD.count_constructs(FD.with_code(bindings.with_language(dims.values(spark, "repo, path, content", SNIPPETS))), CODE_COUNTERS)
     return FD.find(files, CODE_RULES).select("file", "rule", "category", "severity", F.array_join("axes", "/").alias("axes"), "description")
 
 
@@ -101,14 +103,15 @@ _RULE_ROWS = [(r.id, r.category, r.severity, "/".join(r.axes)) for r in CODE_RUL
 
 
 @register(
-    f"""WITH {FILES_SQL}, counted AS (SELECT *, {FD.count_constructs_sql(CODE_COUNTERS)} FROM files), found AS ({FD.find_sql(CODE_RULES)}),
+    f"""WITH {FILES_SQL}, stripped AS (SELECT *, CASE WHEN language = 'rust' THEN {strip_sql('content')} END AS code FROM files),
+    counted AS (SELECT *, {FD.count_constructs_sql(CODE_COUNTERS)} FROM stripped), found AS ({FD.find_sql(CODE_RULES)}),
     rules AS (SELECT * FROM {dims.values_sql('rule, category, severity, axes', _RULE_ROWS)})
     SELECT file, rule, category, severity, array_to_string(axes, '/') AS axes, description FROM found
     UNION ALL SELECT NULL, rule, category, severity, axes, NULL FROM rules WHERE rule NOT IN (SELECT rule FROM found)"""
 )
 def fd79_document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules W01 to W79 over every document, in the language of its path; a rule that none breaks has one row without a file."""
-    files = FD.count_constructs(bindings.files(spark, sf_dir), CODE_COUNTERS)
+    files = FD.count_constructs(FD.with_code(bindings.files(spark, sf_dir)), CODE_COUNTERS)
     broken = FD.find(files, CODE_RULES).select("file", "rule", "category", "severity", F.array_join("axes", "/").alias("axes"), "description")
     rules = dims.values(spark, "rule, category, severity, axes", _RULE_ROWS)
     kept = rules.join(broken.select("rule").distinct(), "rule", "left_anti")
@@ -117,13 +120,16 @@ def fd79_document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""SELECT page_id, greatest((len(regexp_extract_all(url, 'http://')) - len(regexp_extract_all(url, '{LOCAL}'))), 0)::BIGINT AS insecure,
-    (len(regexp_extract_all(html, 'http://')))::BIGINT AS in_page FROM pages WHERE contains(url, 'http://')"""
+    f"""WITH n AS (SELECT page_id, greatest(len(regexp_extract_all(url, '{HTTP}')) - len(regexp_extract_all(url, '{LOCAL}')), 0)::BIGINT AS in_url,
+    greatest(len(regexp_extract_all(html, '{HTTP}')) - len(regexp_extract_all(html, '{LOCAL}')), 0)::BIGINT AS in_page FROM pages)
+    SELECT page_id, in_url, in_page, (in_url + in_page) || ' HTTP (non-HTTPS) URLs' AS says FROM n WHERE in_url + in_page > 0"""
 )
 def fd81_insecure_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = bindings.table(spark, sf_dir, "pages").where(F.contains("url", F.lit("http://")))
-    plain = F.regexp_count("url", F.lit("http://")) - F.regexp_count("url", F.lit(LOCAL))
-    return pages.select("page_id", F.greatest(plain, F.lit(0)).cast("long").alias("insecure"), text.literal_count(F.col("html"), "http://").alias("in_page"))
+    """Plain addresses that aren't local, in the address and in the body of each page."""
+    plain = lambda c: F.greatest(F.regexp_count(c, F.lit(HTTP)) - F.regexp_count(c, F.lit(LOCAL)), F.lit(0)).cast("long")
+    pages = bindings.table(spark, sf_dir, "pages").select("page_id", plain("url").alias("in_url"), plain("html").alias("in_page"))
+    total = F.col("in_url") + F.col("in_page")
+    return pages.where(total > 0).select("*", F.concat(total.cast("string"), F.lit(" HTTP (non-HTTPS) URLs")).alias("says"))
 
 
 @register(BASE + "SELECT " + ", ".join(f"sum({c})::BIGINT AS {c}" for c in (*FD.COUNTERS, "lines")) + " FROM counted")

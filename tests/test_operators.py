@@ -31,7 +31,7 @@ def test_overlapping_needles_count_independently(spark):
 
 @pytest.mark.parametrize(
     ("source", "left"),
-    [('let s = "unsafe {";', "let s = ;"), ('r#"a"b"#x', " x"), ("'a' 'static", " 'static"), ('"a\\"b" c', " c"), ('// "x" y', "//  y")],
+    [('let s = "unsafe {";', 'let s = "";'), ('r#"a"b"#x', 'r#" "#x'), ("'a' 'static", "'a' 'static"), ('"a\\"b" c', '"" c'), ('// "x" y', '// "" y')],
 )
 def test_rust_literals(source, left):
     assert rust_strings.stripper()(source) == left

@@ -57,7 +57,7 @@ def test_every_document_is_stripped(spark, tmp_path):
     strip = rust_strings.stripper()
     found = {r.id: r.stripped for r in QUERIES["st06_rust_strings"].run(spark, _documents(spark, tmp_path, texts)).collect()}
     assert found == {k: None if t is None else strip(t) for k, t in enumerate(texts)}
-    assert found[0] == "let s = ; unsafe { y }"
+    assert found[0] == 'let s = ""; unsafe { y }'
 
 
 def test_every_document_is_mutated(spark, tmp_path):
