@@ -192,11 +192,13 @@ CORPUS_RULES = [
     Rule("C01", (), Test(counter="unsafe_blocks"), "UnsafeCode", "High", (M, P), "{n} shouts"),
     Rule("C02", (), Test(counter="panic_sites", above=2), "PanicPath", "Medium", (M, D), "{n} hash runs"),
     Rule("C03", (), Test(any_of=("password", "passwd", "secret")), "HardcodedSecret", "Critical", (N,), "Secret word"),
-    Rule("C04", (), Test(any_of=("token",), unless=("secret",)), "UnsafeDeserialization", "Low", (C, M), "Token without secret"),
+    Rule("C04", (), Test(any_of=("token",), unless=("secret",)), "UnsafeDeserialization", "Low", (C, M), "Token without schema"),
     Rule("C05", (), Test(regex=r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"), "InsecureProtocol", "Medium", (N,), "Address"),
-    Rule("C06", ("rust",), Test(needles=("idiot", "stupid", "pathetic", "clown"), above=1), "UncheckedError", "Low", (C,), "{n} insults"),
-    Rule("C07", ("c", "python"), Test(counter="threading_constructs", above=5), "RaceCondition", "High", (P,), "{n} separators"),
-    Rule("C08", (), Test(regex=r"[a-z0-9.]+@[a-z0-9.]+"), "PathTraversal", "Medium", (D, N), "Mail address"),
-    Rule("C09", (), Test(any_of=("license", "License", "Licence"), also_any=("copy", "Copy")), "ResourceLeak", "Low", (D,), "License lines"),
-    Rule("C10", (), Test(counter="allocation_sites", above=4), "UncheckedAllocation", "Critical", (M,), "{n} marks"),
+    Rule("C06", ("rust",), Test(needles=("idiot", "stupid", "pathetic", "clown"), above=1), "UncheckedError", "Low", (C,), "{n} insults, known values"),
+    Rule("C07", ("c", "python"), Test(counter="threading_constructs", above=5), "RaceCondition", "High", (P,), "{n} separators, no timeout"),
+    Rule("C08", (), Test(regex=r"[a-z0-9.]+@[a-z0-9.]+"), "PathTraversal", "Medium", (D, N), "Mail address, no absolute path"),
+    Rule("C09", (), Test(any_of=("license", "License", "Licence"), also_any=("copy", "Copy")), "ResourceLeak", "Low", (D,), "License lines, hardcoded"),
+    Rule("C11", (), Test(any_of=("&&&",)), "CommandInjection", "High", (C,), "Predefined command mark"),
+    Rule("C12", ("elixir",), Test(any_of=("###",)), "DeadlockPotential", "Medium", (P,), "Mark with a deadline"),
+    Rule("C10", (), Test(counter="allocation_sites", above=4), "UncheckedAllocation", "Critical", (M,), "{n} marks, no null check"),
 ]

@@ -1,4 +1,4 @@
-"""Queries: frameworks, patterns, lookups and small relational operators."""
+"""Queries: lookups and small relational operators."""
 
 from __future__ import annotations
 
@@ -6,68 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import dims, text
-from tessera.plans.common import BASE, counted, found
+from tessera.plans.common import BASE, found
 from tessera.plans.registry import register
-from tessera.sources import bindings
-from tessera.sources.bindings import FILES_SQL, table
-
-#: (framework, language, word): what a file of a language has to hold; the corpus's stand-in for import lines.
-FRAMEWORKS = [("Phoenix", "elixir", "ciones"), ("Tokio", "rust", "thetion"), ("Django", "python", "eauxment"), ("Qt", "c", "ungheit"), ("Serde", "rust", "license")]
-_FRAMEWORKS = dims.values_sql("framework, language, word", FRAMEWORKS)
-
-
-def frameworks(files: DataFrame) -> DataFrame:
-    """(repo, framework): frameworks whose word some file of their language holds; the small side is broadcast, an equi-join on the language."""
-    known = F.broadcast(dims.values(files.sparkSession, "framework, language, word", FRAMEWORKS))
-    return files.join(known, "language").where(F.contains("content", F.col("word"))).select("repo", "framework").distinct()
-
-
-@register(f"WITH {FILES_SQL} SELECT DISTINCT repo, framework FROM files JOIN (SELECT * FROM {_FRAMEWORKS}) f USING (language) WHERE contains(content, word)")
-def fd82_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frameworks(bindings.files(spark, sf_dir))
-
-
-@register(
-    BASE
-    + f""", fw AS (SELECT DISTINCT repo, framework FROM files JOIN (SELECT * FROM {_FRAMEWORKS}) f USING (language) WHERE contains(content, word))
-    SELECT path AS a, framework AS b, 'framework' AS relation, greatest(3 * unsafe_blocks + 2 * panic_sites + unwrap_calls + 2 * threading_constructs, 1)::DOUBLE AS weight FROM counted JOIN fw USING (repo)"""
-)
-def jn17_framework_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges from each file to the frameworks of its repository."""
-    from tessera.operators.scoring import simple_risk
-
-    files = counted(spark, sf_dir)
-    risk = F.greatest(simple_risk(), F.lit(1)).cast("double")
-    return files.join(frameworks(files), "repo").select(F.col("path").alias("a"), F.col("framework").alias("b"), F.lit("framework").alias("relation"), risk.alias("weight"))
-
-
-#: Old and new spellings, the corpus's stand-in for deprecated and modern interfaces.
-PATTERNS = [("the ", "that ", "article"), ("ing ", "ed ", "ending"), ("!!", ".", "mark"), ("token", "key", "secret")]
-
-
-@register(
-    f"""WITH p AS (SELECT * FROM {dims.values_sql('pattern, replacement, kind', PATTERNS)}),
-    h AS (SELECT doc_id, pattern, kind, (length(text) - length(replace(text, pattern, ''))) // length(pattern) AS n FROM documents, p)
-    SELECT doc_id, pattern, kind, n FROM h WHERE n > 0"""
-)
-def fd84_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occurrences of each pattern in each document: one pass, the patterns are an array of structs."""
-    hits = [F.struct(F.lit(p).alias("pattern"), F.lit(k).alias("kind"), text.literal_count(F.col("text"), p).alias("n")) for p, _, k in PATTERNS]
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*hits)).alias("h")).select("doc_id", "h.*").where("n > 0")
-
-
-@register(
-    """WITH c AS (SELECT source, sum((length(text) - length(replace(text, 'ing ', ''))) // 4)::BIGINT AS old, sum((length(text) - length(replace(text, 'ed ', ''))) // 3)::BIGINT AS new FROM documents GROUP BY source)
-    SELECT source, old, new, round(new / (old + new), 6) AS ratio, round(round((0.5 * new / (old + new) + 0.2 + 0.15) * 100) / 100, 2) AS health FROM c WHERE old + new > 0"""
-)
-def ag24_ag25_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of new spellings of a source, and its health with two of the three fixed parts."""
-    c = F.col("text")
-    sums = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(text.literal_count(c, "ing ")).alias("old"), F.sum(text.literal_count(c, "ed ")).alias("new"))
-    ratio = F.col("new") / (F.col("old") + F.col("new"))
-    health = F.round(F.round((0.5 * ratio + 0.2 + 0.15) * 100) / 100, 2)
-    return sums.where("old + new > 0").select("source", "old", "new", F.round(ratio, 6).alias("ratio"), health.alias("health"))
-
+from tessera.sources.bindings import table
 
 _QUERIES = [("serde", "1.0"), ("tokio", "0.2"), ("rand", "0.8")]
 _ANSWERS = [(0, "ADV-1"), (0, "ADV-2"), (2, "ADV-3")]

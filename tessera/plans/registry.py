@@ -9,7 +9,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules whose queries are registered, in order.
-MODULES = ("scan", "relations", "text_queries", "more_queries")
+MODULES = ("scan", "relations", "text_queries", "more_queries", "code_queries", "campaigns")
 
 
 @dataclass(frozen=True)

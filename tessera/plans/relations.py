@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import dims, text
 from tessera.operators import bridge, image, logic, scoring, signatures
 from tessera.operators import findings as FD
+from tessera.operators.contexts import contexts, contexts_sql
 from tessera.operators.packs import CORPUS_RULES
 from tessera.plans.common import BASE, counted, found, scored
 from tessera.plans.registry import register
@@ -70,53 +73,35 @@ def lg11_se05_taint_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached.unionByName(paths)
 
 
-_EDGES_SQL = """
-edges AS (
-  SELECT DISTINCT 'n' || (l_suppkey % 40) AS a0, 'n' || ((l_partkey * 7 + 3) % 40) AS a1 FROM lineitem WHERE l_linenumber = 7 AND l_quantity > 49
-)"""
-
-
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 7 AND l_quantity > 49")
-    node = lambda c: F.concat(F.lit("n"), c.cast("string"))
-    return lines.select(node(F.col("l_suppkey") % 40).alias("a0"), node((F.col("l_partkey") * 7 + 3) % 40).alias("a1")).distinct()
-
-
-@register(f"WITH RECURSIVE {_EDGES_SQL}, reach AS (SELECT a0, a1 FROM edges UNION SELECT r.a0, e.a1 FROM reach r JOIN edges e ON r.a1 = e.a0) SELECT a0, a1 FROM reach")
-def jn04_lg05_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transitive closure by the semi-naive fixpoint of one recursive rule, cycles included."""
-    return logic.forward_chain({"data_flow": _edges(spark, sf_dir)}, logic.TAINT_RULES[:1])["data_flow"]
-
-
 _WHOLE_EDGES_SQL = "whole_edges AS (SELECT DISTINCT 'n' || l_suppkey AS a0, 'n' || (l_partkey * 7 + 3) AS a1 FROM lineitem)"
 
 
 @register(f"WITH RECURSIVE {_WHOLE_EDGES_SQL}, reach AS (SELECT a0, a1 FROM whole_edges UNION SELECT r.a0, e.a1 FROM reach r JOIN whole_edges e ON r.a1 = e.a0) SELECT a0, a1 FROM reach")
 def jn04_lg05_closure_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The closure over every row of lineitem, keys as they are: the rule above takes a filtered, folded graph of 40 nodes."""
+    """The closure over every row of lineitem, by the semi-naive fixpoint of one recursive rule."""
     lines = table(spark, sf_dir, "lineitem")
     node = lambda c: F.concat(F.lit("n"), c.cast("string"))
     edges = lines.select(node(F.col("l_suppkey")).alias("a0"), node(F.col("l_partkey") * 7 + 3).alias("a1")).distinct()
     return logic.forward_chain({"data_flow": edges}, logic.REACH_RULES)["reach"]
 
 
-_PARENTS = [("tom", "bob"), ("tom", "liz"), ("bob", "ann"), ("bob", "pat"), ("pat", "jim")]
+_PARENTS = [("ida", "kurt"), ("ida", "vera"), ("kurt", "otto"), ("kurt", "emil"), ("emil", "nora"), ("vera", "hugo")]
 
 
 @register(
     f"""WITH p AS (SELECT * FROM {dims.values_sql('a0, a1', _PARENTS)})
-    SELECT 'grandparent' AS relation, a.a0 AS x, b.a1 AS y FROM p a JOIN p b ON a.a1 = b.a0 UNION ALL SELECT 'child_of_tom', 'tom', a1 FROM p WHERE a0 = 'tom'
+    SELECT 'grandparent' AS relation, a.a0 AS x, b.a1 AS y FROM p a JOIN p b ON a.a1 = b.a0 UNION ALL SELECT 'child_of_ida', 'ida', a1 FROM p WHERE a0 = 'ida'
     UNION ALL SELECT 'sibling', a.a1, b.a1 FROM p a JOIN p b ON a.a0 = b.a0"""
 )
 def jn01_lg02_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Constants, shared variables and several rules through the compiler."""
     rules = logic.parse_program("""
         grandparent(X, Z) :- parent(X, Y), parent(Y, Z).
-        child_of_tom('tom', X) :- parent(tom, X).
+        child_of_ida('ida', X) :- parent(ida, X).
         sibling(A, B) :- parent(P, A), parent(P, B).
     """)
     derived = logic.forward_chain({"parent": dims.values(spark, "a0, a1", _PARENTS)}, rules)
-    parts = [derived[n].select(F.lit(n).alias("relation"), F.col("a0").alias("x"), F.col("a1").alias("y")) for n in ("grandparent", "child_of_tom", "sibling")]
+    parts = [derived[n].select(F.lit(n).alias("relation"), F.col("a0").alias("x"), F.col("a1").alias("y")) for n in ("grandparent", "child_of_ida", "sibling")]
     return parts[0].union(parts[1]).union(parts[2])
 
 
@@ -137,8 +122,10 @@ def cross_calls(files: DataFrame, findings: DataFrame) -> DataFrame:
 
 @register(
     BASE
-    + f""", {_CALLS}, fam AS (SELECT DISTINCT family FROM files WHERE family <> 'unknown')
-    SELECT 'ffi_risk' AS relation, a0 AS x, a2 AS y FROM calls UNION ALL
+    + f""", {_FACTS}, {_CALLS}, fam AS (SELECT DISTINCT family FROM files WHERE family <> 'unknown')
+    SELECT DISTINCT 'ffi_risk' AS relation, c.a0 AS x, c.a2 AS y FROM calls c JOIN findings f ON f.file = c.a0 AND f.category = 'UnsafeCode' UNION ALL
+    SELECT DISTINCT 'serialization_risk', c.a0, c.a0 FROM calls c JOIN tsource s USING (a0) WHERE c.a2 = 'SharedFile' UNION ALL
+    SELECT DISTINCT 'cross_lang_vuln', c.a0, c.a1 FROM calls c JOIN tsource s ON s.a0 = c.a0 JOIN tsink k ON k.a0 = c.a1 UNION ALL
     SELECT 'active_boundary', a.family, b.family FROM fam a JOIN fam b ON a.family < b.family WHERE EXISTS (SELECT 1 FROM calls)"""
 )
 def lg12_jn07_jn08_jn18_cross_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,27 +135,14 @@ def lg12_jn07_jn08_jn18_cross_language(spark: SparkSession, sf_dir: str) -> Data
     pairs = families.select(F.col("family").alias("a0")).join(families.select(F.col("family").alias("a1")), F.col("a0") < F.col("a1"))
     weak = findings.select(F.col("category").alias("a0"), F.col("file").alias("a1")).distinct()
     facts = {"cross_lang_call": cross_calls(files, findings), "language_boundary": pairs, "weak_point": weak}
-    derived = logic.forward_chain(facts, logic.CROSS_RULES[:2])
-    part = lambda n: derived[n].select(F.lit(n).alias("relation"), F.col("a0").alias("x"), F.col("a1").alias("y"))
-    return part("ffi_risk").union(part("active_boundary"))
-
-
-_CONTEXT = """
-context AS (
-  SELECT path AS file, 'mutex_guarded' AS ctx FROM counted WHERE threading_constructs > 0 UNION SELECT path, 'raii_managed' FROM counted WHERE ext = 'rs'
-  UNION SELECT path, 'result_returning_fn' FROM counted WHERE ext = 'rs' AND unwrap_calls > 0 UNION SELECT path, 'test_file' FROM counted WHERE regexp_matches(path, '/test|_test\\.|/tests/|/spec/|test_|0\\.py$')
-)"""
+    facts |= {name: df for name, df in taint_facts(findings).items() if name != "data_flow"}
+    derived = logic.forward_chain(facts, logic.CROSS_RULES)
+    part = lambda n, y: derived[n].select(F.lit(n).alias("relation"), F.col("a0").alias("x"), F.col(y).alias("y"))
+    parts = [part(n, y) for n, y in (("ffi_risk", "a1"), ("active_boundary", "a1"), ("serialization_risk", "a0"), ("cross_lang_vuln", "a1")) if n in derived]
+    return reduce(DataFrame.union, parts)
 
 
-def contexts(files: DataFrame) -> DataFrame:
-    """(file, ctx): what a file's counters and path say of it; one pass."""
-    tests = F.rlike("path", F.lit(r"/test|_test\.|/tests/|/spec/|test_|0\.py$"))
-    rust = F.col("ext") == "rs"
-    found_ = F.array(
-        F.when(F.col("threading_constructs") > 0, F.lit("mutex_guarded")), F.when(rust, F.lit("raii_managed")),
-        F.when(rust & (F.col("unwrap_calls") > 0), F.lit("result_returning_fn")), F.when(tests, F.lit("test_file")),
-    )
-    return files.select(F.col("path").alias("file"), F.explode(F.filter(found_, lambda c: c.isNotNull())).alias("ctx"))
+_CONTEXT = contexts_sql()
 
 
 @register(
@@ -182,7 +156,7 @@ def jn10_lg09_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(c, ctx, p) for cat, ctx, p in dims.SUPPRESSIONS for c in (dims.CATEGORIES if cat == "*" else [cat])]
     rules = F.broadcast(dims.values(spark, "category, ctx, confidence", rows))
     weak = found(spark, sf_dir).select("file", "category").distinct()
-    return weak.join(contexts(counted(spark, sf_dir)), "file").join(rules, ["category", "ctx"]).groupBy("file", "category").agg(F.max("confidence").alias("confidence"))
+    return weak.join(contexts(counted(spark, sf_dir), found(spark, sf_dir)), "file").join(rules, ["category", "ctx"]).groupBy("file", "category").agg(F.max("confidence").alias("confidence"))
 
 
 @register(
@@ -191,7 +165,7 @@ def jn10_lg09_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'data_flow', count(*) FROM flow0 UNION ALL SELECT 'context', count(*) FROM context"""
 )
 def ag23_cardinalities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = taint_facts(found(spark, sf_dir)) | {"context": contexts(counted(spark, sf_dir))}
+    tables = taint_facts(found(spark, sf_dir)) | {"context": contexts(counted(spark, sf_dir), found(spark, sf_dir))}
     return logic.cardinalities(spark, tables)
 
 
@@ -382,10 +356,10 @@ def wn03_wn05_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CRASHES = [
-    ("c1", "malloc failed then free then use access", None), ("c2", "ERROR: use-after-free detected", None), ("c3", "double free or corruption", None),
-    ("c4", "thread waiting on lock deadlock detected mutex", None), ("c5", "thread write store read load concurrent", None), ("c6", "segmentation fault", "SIGSEGV"),
-    ("c7", "AddressSanitizer: heap-buffer-overflow", None), ("c8", "LeakSanitizer: detected memory leaks", None), ("c9", "program exited normally", None), ("c10", "", None),
-    ("c11", "block was freed and later accessed, overflow on add", "SIGABRT"),
+    ("c1", "buffer from malloc: free was called, next use is an access", None), ("c2", "report: heap use-after-free at frame 3", None), ("c3", "abort: double free found by the allocator", None),
+    ("c4", "worker A waiting for lock of B: deadlock, mutex held twice", None), ("c5", "thread 1 did write (store) while thread 2 did read (load): concurrent", None), ("c6", "a segmentation fault stopped the run", "SIGSEGV"),
+    ("c7", "AddressSanitizer says heap-buffer-overflow here", None), ("c8", "LeakSanitizer: 3 objects, memory leaks", None), ("c9", "all jobs done", None), ("c10", "", None),
+    ("c11", "page freed by the pool, accessed later; overflow when adding", "SIGABRT"),
 ]
 
 
@@ -555,7 +529,7 @@ def src12_lockfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.parse_lock(dims.values(spark, "file, content", _LOCKS))
 
 
-_VERSIONS = [("0.11.5", "0.11.6"), ("0.11.5", "0.12.0"), ("1.0.0", "1.0.1"), ("1.0.0", "1.1.0"), ("1.0.0", "2.0.0"), ("0.12.5", "0.16.3"), ("1", "1.1"), ("1.x.2", "1.3"), ("1.2.0", "1.2")]
+_VERSIONS = [("0.4.2", "0.4.9"), ("0.4.2", "0.5.0"), ("3.1.4", "3.1.5"), ("3.1.4", "3.2.0"), ("3.1.4", "4.0.0"), ("0.7.1", "0.9.8"), ("1", "1.1"), ("1.x.2", "1.3"), ("1.2.0", "1.2")]
 
 
 @register(

@@ -207,17 +207,18 @@ def ag15_ag16_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     BASE
-    + """, c AS (SELECT repo, sum(unsafe_blocks) AS unsafe, sum(unwrap_calls) AS unwraps FROM counted GROUP BY repo)
-    SELECT repo, greatest(0.0, least(100.0, 100.0 - 20.0 * critical - 5.0 * (unsafe // 10)))::DOUBLE AS robustness,
+    + """, c AS (SELECT repo, sum(unsafe_blocks) AS unsafe, sum(unwrap_calls) AS unwraps, sum(panic_sites) AS crashes FROM counted GROUP BY repo)
+    SELECT repo, greatest(0.0, least(100.0, 100.0 - 10.0 * crashes - 20.0 * critical - 5.0 * unsafe))::DOUBLE AS robustness,
       concat_ws(',', CASE WHEN unwraps > 10 THEN 'unwrap' END, CASE WHEN unsafe > 0 THEN 'unsafe' END) AS advice
     FROM repos JOIN c USING (repo)"""
 )
 def ag21_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """100 less 10 a crash, 20 a critical finding and 5 an unsafe block, from 0 to 100; panic sites stand for crashes."""
     files = counted(spark, sf_dir)
-    sums = files.groupBy("repo").agg(F.sum("unsafe_blocks").alias("unsafe"), F.sum("unwrap_calls").alias("unwraps"))
+    sums = files.groupBy("repo").agg(F.sum("unsafe_blocks").alias("unsafe"), F.sum("unwrap_calls").alias("unwraps"), F.sum("panic_sites").alias("crashes"))
     repos = scoring.repo_results(files, found(spark, sf_dir)).join(sums, "repo")
     advice = F.filter(F.array(F.when(F.col("unwraps") > 10, "unwrap"), F.when(F.col("unsafe") > 0, "unsafe")), lambda a: a.isNotNull())
-    score = scoring.robustness(F.lit(0), F.col("critical"), F.floor(F.col("unsafe") / 10))
+    score = scoring.robustness(F.col("crashes"), F.col("critical"), F.col("unsafe"))
     return repos.select("repo", score.alias("robustness"), F.array_join(advice, ",").alias("advice"))
 
 

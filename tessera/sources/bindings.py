@@ -1,7 +1,8 @@
 """Logical tables bound to the driver's tables, as DataFrames and as SQL.
 
 The tables hold prose, not code, so ``files`` are the documents, under a path
-whose extension follows the language, and repositories are their sources.
+whose extension follows the language, and repositories are their sources. Every
+40th document has the name of a test.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = F.lit("txt")
     for lang, own in DOCUMENT_EXTENSIONS.items():
         ext = F.when(F.col("lang") == lang, F.lit(own)).otherwise(ext)
-    path = F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit("."), ext)
+    path = F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.when(F.col("doc_id") % 40 == 0, F.lit("/test_doc_")).otherwise(F.lit("/doc_")), F.col("doc_id").cast("string"), F.lit("."), ext)
     found = table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), path.alias("path"), F.col("text").alias("content"), text.line_count(F.col("text")).alias("lines"))
     return with_language(found)
 
@@ -45,7 +46,7 @@ _CASE = " ".join(f"WHEN '{lang}' THEN '{ext}'" for lang, ext in DOCUMENT_EXTENSI
 FILES_SQL = f"""
 languages AS (SELECT * FROM {dims.values_sql("ext, language, family", dims.language_rows())}),
 raw_files AS (
-  SELECT source AS repo, source || '/' || lang || '/doc_' || doc_id || '.' || CASE lang {_CASE} ELSE 'txt' END AS path, text AS content,
+  SELECT source AS repo, source || '/' || lang || CASE WHEN doc_id % 40 = 0 THEN '/test_doc_' ELSE '/doc_' END || doc_id || '.' || CASE lang {_CASE} ELSE 'txt' END AS path, text AS content,
     CASE lang {_CASE} ELSE 'txt' END AS ext,
     (CASE WHEN length(text) = 0 THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END)::BIGINT AS lines
   FROM documents
