@@ -28,6 +28,11 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
+def _host_key(labels: Column) -> Column:
+    """Labels in reversed order, each closed by a space, which no other label begins with: ``com`` does not begin ``community``."""
+    return F.array_join(F.transform(labels, lambda label: F.concat(label, F.lit(" "))), "")
+
+
 def _labels(host: Column) -> Column:
     return F.reverse(F.split(host, r"\."))
 
@@ -72,8 +77,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     url's path starts with the rule's; the longest rule (host and path
     together, then host) wins, block before allow if the same rule says both;
     without any, ``default``. A key is the reversed host, cut to as many labels
-    as some rule host has, and the path, so that each rule is one interval of
-    keys. Hosts and paths are made distinct before anything is dealt out, and
+    as some rule host has, with each label closed, an end mark and the path, so
+    that each rule is one interval of keys, also one with an empty path. Hosts and paths are made distinct before anything is dealt out, and
     verdicts return to the pages by an equi-join that may split hot urls.
 
     Null urls and those without ``://`` have empty host and path and get the
@@ -82,7 +87,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     """
     rules = rules.dropna(subset=["host", "path", "verdict"]).select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").distinct()
     rules = rules.select(
-        F.concat(F.array_join(_labels(F.col("host")), "."), "path").alias("key"),
+        F.concat(_host_key(_labels(F.col("host"))), F.lit("!"), "path").alias("key"),
         F.concat("host", "path").alias("rule"),
         "verdict",
         F.length(F.concat("host", "path")).alias("size"),
@@ -96,7 +101,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         return urls.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     labels = _labels(F.col("host"))
     depths = F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest)))
-    suffixes = F.transform(depths, lambda n: F.concat(F.array_join(F.slice(labels, F.lit(1), n), "."), F.col("path")))
+    suffixes = F.transform(depths, lambda n: F.concat(_host_key(F.slice(labels, F.lit(1), n)), F.lit("!"), F.col("path")))
     keyed = urls.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("key"))
     best = _sweep(keyed.select("key").distinct(), _stacks(rules))
     fits = keyed.join(best, "key").groupBy("host", "path").agg(F.max("best").alias("best"))

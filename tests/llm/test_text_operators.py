@@ -128,9 +128,9 @@ def test_url_rules(spark):
     rng = random.Random(7)
     labels, steps = ["a", "b", "ab", "com", "org"], ["", "/", "/x", "/x/", "/x/y", "/xy"]
     host = lambda n: ".".join(rng.choice(labels) for _ in range(n))
-    rules = list({(host(rng.randint(1, 3)), rng.choice(steps[1:]), rng.choice(["block", "allow"])): 0 for _ in range(60)})
+    rules = list({(host(rng.randint(1, 3)), rng.choice(steps), rng.choice(["block", "allow"])): 0 for _ in range(60)} | {("com", "", "block"): 0})
     urls = [f"http://{host(rng.randint(1, 5))}{rng.choice(steps)}{rng.choice(['', '/q', '?a=/x', '#f', '/x?b'])}" for _ in range(600)]
-    urls += [None, "", "no scheme", "http://", "http:///x/y", "HTTP://A.COM/x/y", "x://a.com:80/x", "a://b://c/x", "http://a..com/x", urls[0], urls[0], "http://com" + "/x" * 5_000]
+    urls += ["http://community/x", "http://a.com", "http://com!/x", "http://com /x", None, "", "no scheme", "http://", "http:///x/y", "HTTP://A.COM/x/y", "x://a.com:80/x", "a://b://c/x", "http://a..com/x", urls[0], urls[0], "http://com" + "/x" * 5_000]
     pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("key", F.lit("clash"))
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge_urls(pages, rule_table(spark, rules)).collect()}
     assert got == {k: _judge(u, rules) for k, u in enumerate(urls)}
