@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, BinaryType, FloatType, LongType, String
 
 from tessera.llm.arrow import batches
 from tessera.llm.components import components
+from tessera.llm.hot import salted_join
 from tessera.llm.scratch import written
 
 #: Dimensions of a subspace.
@@ -157,7 +158,8 @@ def near_embeddings(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     Equal vectors of a label are compared once and linked with each other.
     Vectors that are null, zero or hold null or non-finite components, and rows
     without label or id, have no links: component_id is the own id, and kept is
-    true. Repeated rows of an id with one vector are one vector. Vectors of
+    true. Repeated rows of an id with one vector are one vector; of an id with
+    several vectors each counts its own links, and the id links what they reach. Vectors of
     different lengths aren't linked. Extra columns are not read.
     """
     kind = vectors.schema[vector_col].dataType
@@ -176,8 +178,8 @@ def near_embeddings(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
 
     digests = written(source.mapInArrow(read, digest), "vectors")
     known = digests.where("key is not null")
-    classes = written(known.select("id", "label", "key").distinct().groupBy("label", "key").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "classes")
-    nodes = classes.join(known.withColumnRenamed("id", "node").dropDuplicates(["node", "label", "key"]), ["node", "label", "key"])
+    classes = written(known.select("id", "label", "key").distinct().groupBy("label", "key").agg(F.min("id").alias("first"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    nodes = classes.join(known.withColumnRenamed("id", "first"), ["first", "label", "key"]).dropDuplicates(["node"])
     nodes = written(nodes.select("node", "label", "copies", "raw"), "nodes")
     spark = vectors.sparkSession
     turns = spark.sparkContext.broadcast(_rotations(nodes, dtype))
@@ -208,10 +210,20 @@ def near_embeddings(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     dealt = dealt.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("chunks", "other", "home")
     found = written(dealt.groupBy(*cell, "i", "j").applyInPandas(_compare(dtype, least), "node long, links long, root long"), "links")
     summed = found.groupBy("node").agg(F.sum("links").alias("links"))
-    labels = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    of_class = classes.join(summed, "node", "left").join(labels, "node", "left")
-    of_class = of_class.select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    judged = digests.select("id", "label", "key").join(of_class, ["label", "key"], "left")
+    edges = found.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    ids = known.select("id", "label", "key").distinct()
+    several = written(ids.groupBy("id").count().where("count > 1").select("id"), "several")
+    if not several.isEmpty():
+        own = ids.join(several, "id").join(classes.select("label", "key", "node"), ["label", "key"]).select("id", "node")
+        edges = edges.union(own.join(own.groupBy("id").agg(F.min("node").alias("v")), "id").select(F.col("node").alias("u"), "v"))
+    labels = written(components(edges), "labels")
+    firsts = labels.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("smallest"))
+    of_node = salted_join(labels, firsts, "component").select("node", "smallest")
+    of_class = classes.join(summed, "node", "left").join(of_node, "node", "left")
+    of_class = of_class.select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("smallest", "first").alias("component"))
+    key = F.concat(F.col("key"), F.encode("label", "UTF-8")).alias("key")
+    of_class = of_class.select(key, "n_links", "component")
+    judged = salted_join(digests.select("id", key), of_class, "key", "left")
     return judged.select(
         F.col("id").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
