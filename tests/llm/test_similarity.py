@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import line_dedup, near_dedup
+from tessera.llm import hot, line_dedup, linking, near_dedup
 from tessera.llm.components import components
 from tessera.llm.decontamination import find_leaks
 from tessera.llm.embedding_dedup import near_embeddings
@@ -70,6 +70,27 @@ def test_near_duplicates(groups, words):
             assert (r.component_id, r.n_shingles, r.kept) == (want[r.doc_id], len(sets[r.doc_id]), want[r.doc_id] == r.doc_id)
 
 
+def test_near_duplicates_in_small_chunks(groups, monkeypatch):
+    """Groups of two chunks, joined instead of broadcast buckets and ids, and salted keys give the same rows."""
+    size = 1
+    want = sorted(map(str, near_duplicates(groups, words=2).collect()))
+    monkeypatch.setattr(linking, "CHUNK", 40)
+    monkeypatch.setattr(linking, "MOST_BUCKETS", size)
+    monkeypatch.setattr(linking, "MOST_IDS", size)
+    monkeypatch.setattr(near_dedup, "MOST_IDS", size)
+    monkeypatch.setattr(hot, "HOT_ROWS", max(size, 1))
+    assert sorted(map(str, near_duplicates(groups, words=2).collect())) == want
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    ship(spark)
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    table = spark.createDataFrame([(5, a), (5, b), (9, b), (11, b + " more"), (12, "other"), (5, a), (13, ""), (13, None)], "doc_id long, text string")
+    assert sorted({(r.doc_id, r.component_id) for r in near_duplicates(table, words=2).collect()}) == [(5, 5), (9, 5), (11, 5), (12, 12), (13, 13)]
+    kept = sorted((r.doc_id, r.text) for r in drop_near_duplicates(table, words=2).collect() if r.text)
+    assert kept == sorted([(5, a), (5, b), (12, "other")])
+
+
 def test_near_duplicates_of_documents(docs):
     texts = {r.doc_id: r.text for r in docs.collect()}
     sets = {k: word_shingles(t, 2) for k, t in texts.items()}
@@ -265,6 +286,14 @@ def test_embeddings(spark, least):
     assert near_embeddings(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_ids_with_several_vectors(spark):
+    ship(spark)
+    a, near, far, other = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.1]
+    table = spark.createDataFrame([(1, a, 0), (1, near, 0), (2, far, 0), (2, a, 0), (3, other, 0), (1, a, 0)], "vec_id long, embedding array<float>, label int")
+    found = sorted((r.vec_id, r.n_links, r.component_id) for r in near_embeddings(table).collect())
+    assert found == [(1, 2, 1), (1, 2, 1), (1, 2, 1), (2, 1, 1), (2, 2, 1), (3, 1, 1)]
+
+
 def test_pipeline(spark, sf_dir, docs, tmp_path):
     found, kept = docs, {}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
