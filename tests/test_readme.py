@@ -10,5 +10,5 @@ TOP = Path(__file__).resolve().parents[1]
 
 
 def test_contexts_that_nothing_makes_are_named():
-    code, readme = (TOP / "tessera/plans/relations.py").read_text(), (TOP / "README.md").read_text()
+    code, readme = (TOP / "tessera/operators/contexts.py").read_text(), (TOP / "README.md").read_text()
     assert [ctx for _, ctx, _ in dims.SUPPRESSIONS if ctx not in code and f"`{ctx}`" not in readme] == []
