@@ -176,23 +176,47 @@ def _pairs(s: Sketches, frame: pd.DataFrame, keys: list[str]) -> Iterator[tuple[
             yield left[close], right[close]
 
 
+def _dealt(labelled: DataFrame) -> DataFrame:
+    """(no, band, i, j, chunk, node, component): members of mixed buckets, in groups of two chunks.
+
+    ``labelled`` is (no, band, node, component). A bucket is mixed if it holds
+    several components. Its largest one can only be linked with the others, so
+    its chunks meet theirs and not each other: a few foreign members of a large
+    group of near copies cost one row a member. A bucket that fits into one
+    chunk is one group. Members of a pair of different components meet in one
+    group, in different chunks of it or in a group of a single chunk.
+    """
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    inside = written(labelled.join(mixed, "band"), "mixed")
+    parts = inside.groupBy("band", "component").agg(F.count("*").alias("size"))
+    shape = parts.groupBy("band").agg(F.sum("size").alias("all"), F.max(F.struct("size", (-F.col("component")).alias("minus"))).alias("most"))
+    whole = F.col("all") <= CHUNK
+    chunks = lambda size: F.ceil(size / CHUNK).cast("int")
+    foreign = F.when(whole, 1).otherwise(chunks(F.col("all") - F.col("most.size"))).alias("foreign")
+    own = F.when(whole, 0).otherwise(chunks(F.col("most.size"))).alias("own")
+    shape = shape.select("band", (-F.col("most.minus")).alias("largest"), foreign, own)
+    in_largest = (F.col("component") == F.col("largest")) & (F.col("own") > 0)
+    place = lambda count: F.pmod(F.xxhash64("node"), count).cast("int")
+    chunk = F.when(in_largest, F.col("foreign") + place(F.greatest("own", F.lit(1)))).otherwise(place(F.col("foreign")))
+    last = F.when(in_largest, F.col("foreign")).otherwise(F.col("foreign") + F.col("own")) - 1
+    chunked = inside.join(shape, "band").select("no", "band", "node", "component", chunk.alias("chunk"), last.alias("last"))
+    dealt = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    return dealt.select("no", "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component")
+
+
 def _across(s: Sketches, members: DataFrame, labels: DataFrame) -> DataFrame:
     """(u, v): links between components that share a bucket, as a forest of each group.
 
     Only buckets with several components are looked at. Their members are dealt
-    into chunks, and a group is two chunks of a bucket, so that no more than
-    2 x CHUNK of them are ever compared at once. A first pass keeps the members
+    into groups of two chunks, so that no more than about 2 x CHUNK of them are
+    ever compared at once. A first pass keeps the members
     that have a likely partner in their group; these get their whole sets, and
     a second pass checks their likely pairs on them. Neither emits pairs: the
     first returns members, the second one link a member at most.
     """
     keys = ["band", "i", "j"]
     labelled = members.join(labels, "node", "left").select("no", "band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("band").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    mixed = written(mixed.select("band", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "mixed")
-    inside = labelled.join(mixed, "band").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = inside.withColumn("other", others).select("no", "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component")
+    dealt = _dealt(labelled)
     dealt = dealt.join(s.nodes, "node").select(*keys, "no", "chunk", "node", "component", "n", "sig")
     slim = replace(s, nodes=None, fetch=None)
 

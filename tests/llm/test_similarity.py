@@ -82,6 +82,32 @@ def test_near_duplicates_in_small_chunks(groups, monkeypatch):
     assert sorted(map(str, near_duplicates(groups, words=2).collect())) == want
 
 
+@pytest.mark.parametrize("parts", [[400, 1], [30, 5], [90, 60, 60, 1], [50] * 6], ids=str)
+def test_members_of_mixed_buckets_meet(spark, monkeypatch, parts):
+    """Each pair of two components is compared in one group; few foreign members make few rows."""
+    monkeypatch.setattr(linking, "CHUNK", 40)
+    rows, node = [], 0
+    for component, size in enumerate(parts):
+        rows += [(0, 7, node + k, component) for k in range(size)]
+        node += size
+    alone = [(1, 8, k, 0) for k in range(parts[0])]
+    dealt = linking._dealt(spark.createDataFrame([*rows, *alone], "no int, band long, node long, component long")).collect()
+    assert {r.band for r in dealt} == {7}
+    groups = {}
+    for r in dealt:
+        groups.setdefault((r.i, r.j), []).append(r)
+    met = [
+        frozenset((a.node, b.node))
+        for (i, j), own in groups.items()
+        for k, a in enumerate(own)
+        for b in own[k + 1 :]
+        if a.component != b.component and (i == j or a.chunk != b.chunk)
+    ]
+    assert len(met) == len(set(met)) == sum(x * y for k, x in enumerate(parts) for y in parts[k + 1 :])
+    if parts == [400, 1]:
+        assert len(dealt) == 400 + 11
+
+
 def test_near_duplicates_of_ids_with_several_texts(spark):
     ship(spark)
     a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
