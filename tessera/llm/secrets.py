@@ -28,7 +28,8 @@ _ACCESS_LEAST = 16
 _HEX = re.compile(r"[0-9a-f]{32,}")
 
 #: Runs of these that are long enough are tested for randomness.
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_CANDIDATE_LEAST = 20
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{_CANDIDATE_LEAST},}}")
 
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Encodings from the narrowest alphabet to the widest; the first that holds all characters is inferred.
@@ -56,6 +57,8 @@ _PROSE = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.
 FALSE_DISCOVERIES = 0.01
 #: A string whose joint p-value as a random one is below this isn't random.
 RANDOM_LEAST = 0.001
+#: Nodes and weights of the integral over the chi-squared's part.
+_NODES, _NODE_WEIGHTS = np.polynomial.legendre.leggauss(48)
 #: Bins of -log10(p) to a unit and their greatest value.
 _BINS, _DEEPEST = 8, 60
 
@@ -82,16 +85,29 @@ def _below(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
+def _nearer(joint: float, mean: float, deviation: float) -> float:
+    """Chance of a distance up to ``joint`` if the chi-squared's part has this mean and deviation and the others are standard normal."""
+    reach = math.sqrt(joint)
+    at = (_NODES + 1) * reach / 2
+    density = np.exp(-(((at - mean) / deviation) ** 2) / 2) / (deviation * math.sqrt(2 * math.pi))
+    inside = reach / 2 * float(_NODE_WEIGHTS @ (density * -np.expm1((at**2 - joint) / 2)))
+    return _below(-mean / deviation) * -math.expm1(-joint / 2) + inside
+
+
 def battery(text: str) -> tuple[str, float, float]:
     """(encoding, p as random, p as prose) of a string.
 
     Three statistics that are about standard normal for random strings over the
     inferred alphabet: chi-squared of the character counts, the number of runs
     above and below the alphabet's middle, and the serial correlation of
-    neighbours. Their squares' sum gives the first p-value (chi-squared with
-    three degrees). The second is the chance that prose of this length looks as
-    uniform: its chi-squared grows with the length, so short strings can't
-    reach small values and long ones must be very even.
+    neighbours. Their squares' sum is the distance from randomness; the first
+    p-value is its chi-squared tail with three degrees.
+
+    The second is the chance that prose of this length comes as near to
+    randomness in all three tests. Its chi-squared grows with the length, so
+    short strings can't reach small values; its runs and correlation are taken to
+    spread as random ones do, the least that they can. A string that the first
+    p-value rejects has 1 here: whatever control the second is under decides alone.
     """
     body = text.rstrip("=") or text
     own = set(body)
@@ -101,7 +117,8 @@ def battery(text: str) -> tuple[str, float, float]:
     codes = np.array([alphabet.index(c) for c in body], dtype=np.float64)
     counts = np.bincount(codes.astype(np.int64), minlength=k)
     chi = float((counts.astype(np.float64) ** 2).sum()) * k / n - n
-    z_chi = (chi - (k - 1)) / math.sqrt(2 * (k - 1) * max(n - 1, 1) / n)
+    plain = math.sqrt(2 * (k - 1) * max(n - 1, 1) / n)
+    z_chi = (chi - (k - 1)) / plain
     high = codes >= k / 2
     share = (k - math.ceil(k / 2)) / k
     expected, turn = 2 * (n - 1) * share * (1 - share), 2 * share * (1 - share)
@@ -112,9 +129,11 @@ def battery(text: str) -> tuple[str, float, float]:
     z_serial = ((float((spread[1:] * spread[:-1]).sum()) / total) + 1 / n) * math.sqrt(n) if total else math.inf
     joint = max(z_chi, 0.0) ** 2 + z_runs**2 + z_serial**2
     as_random = math.erfc(math.sqrt(joint / 2)) + math.sqrt(2 * joint / math.pi) * math.exp(-joint / 2) if math.isfinite(joint) else 0.0
+    if as_random < RANDOM_LEAST:
+        return encoding, as_random, 1.0
     excess = _EXCESS[encoding]
-    z_prose = (chi - (k - 1) - (n - 1) * excess) / math.sqrt(2 * (k - 1) + 4 * n * excess)
-    return encoding, as_random, max(_below(z_prose), 10.0**-_DEEPEST)
+    as_prose = _nearer(joint, (n - 1) * excess / plain, math.sqrt(2 * (k - 1) + 4 * n * excess) / plain)
+    return encoding, as_random, max(as_prose, 10.0**-_DEEPEST)
 
 
 def known_spans(text: str) -> list[tuple[str, int, int]]:
@@ -130,11 +149,21 @@ def known_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str, known: list[tuple[str, int, int]]) -> list[tuple[int, int, str, float, float]]:
-    """(start, end, encoding, p as random, p as prose) of long runs outside the known spans."""
+    """(start, end, encoding, p as random, p as prose) of long runs, known spans cut out of them.
+
+    ``known`` is sorted by start, as the runs are; both are swept once.
+    """
     found = []
+    at, covered = 0, 0
     for m in _CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for _, a, b in known):
-            found.append((m.start(), m.end(), *battery(m[0])))
+        start, end = max(m.start(), covered), m.end()
+        pieces = []
+        while at < len(known) and known[at][1] < end:
+            _, a, b = known[at]
+            pieces.append((start, a))
+            start, covered, at = max(start, b), max(covered, b), at + 1
+        pieces.append((start, end))
+        found += [(a, b, *battery(text[a:b])) for a, b in pieces if b - a >= _CANDIDATE_LEAST]
     return found
 
 
@@ -170,10 +199,10 @@ def _limits(tested: DataFrame, rate: float) -> dict[int, float]:
 def find_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_assign, n_access, n_hex, base_sha256, spans) of every row of ``docs``.
 
-    The known kinds are found by shape. Other long runs of code-like characters
-    are random secrets if the battery does not reject them as random, and if
-    their p-value as prose is below the false-discovery limit of their length
-    stratum, which all candidates of the corpus decide together.
+    The known kinds are found by shape. Other long runs of code-like characters,
+    without the known spans in them, are random secrets if the battery's p-value
+    as prose, to which all three tests belong, is below the false-discovery limit
+    of their length stratum, which all candidates of the corpus decide together.
 
     Null and empty texts have no spans. Texts are read whole; spans count code
     points. Rows are judged one by one, so null and repeated ids keep their
@@ -204,7 +233,7 @@ def find_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERIES, id_col: str =
     limits = _limits(tested, rate)
     if limits:
         table = F.create_map(*[F.lit(x) for s, p in sorted(limits.items()) for x in (s, p)])
-        passes = lambda c: (c["random"] >= RANDOM_LEAST) & (c["prose"] <= F.coalesce(F.try_element_at(table, _stratum(c["start"], c["end"])), F.lit(-1.0)))
+        passes = lambda c: c["prose"] <= F.coalesce(F.try_element_at(table, _stratum(c["start"], c["end"])), F.lit(-1.0))
         more = F.transform(F.filter("found", passes), lambda c: F.struct(c["start"].alias("start"), F.lit(random_kind).alias("kind"), c["end"].alias("end")))
         every = F.array_sort(F.concat("base", more))
     else:
