@@ -244,6 +244,40 @@ def test_leaks_in_long_texts_and_blocks():
     assert got <= want | {i for i, t in items if split_item(t)[1]}
 
 
+def test_blocks_of_the_benchmark_change_nothing(spark, docs, odd, sf_dir):
+    tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "same words again")], "item_id long, text string"))
+    both = docs.select("doc_id", "text").unionByName(_apart(odd).select("doc_id", "text"))
+    key = lambda r: (r.doc_id, r.item_id, round(r.score, 9), r.overlap, r.question_overlap, r.answer_overlap)
+    whole = Counter(map(key, find_leaks(both, tests).collect()))
+    assert whole
+    assert Counter(map(key, find_leaks(both, tests, block_items=70).collect())) == whole
+    assert drop_leaking(both, tests, block_items=70).count() == drop_leaking(both, tests).count()
+
+
+def test_closed_blocks_are_not_read():
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(10, 60)))) for k in range(2000)]
+    index = Index(items)
+    held = Counter(w for _, t in items for w in set(t.split()))
+    text = " ".join(rng.choice(vocabulary) for _ in range(3000)) + " " + items[7][1] + " " + " ".join(rng.choice(vocabulary) for _ in range(3000))
+    assert {index.ids[i] for i in index.leaks(text)} == {7}
+    clean = Index(items)
+    assert not clean.leaks(" ".join(f"v{k}" for k in range(1000)))
+    assert clean.read == 0
+    words = text.split()
+    halves = [(c, words[k : k + c.longest]) for c in index.classes for k in range(0, len(words), c.longest)]
+    whole = sum(sum(held[w] for w in set(half)) for _, half in halves)
+    # a search without bounds reads each posting for both windows of its half
+    assert index.read <= whole
+
+
+def test_a_long_item_does_not_stretch_the_windows_of_others():
+    index = Index([(0, "one two three four five six"), (1, " ".join(f"w{k}" for k in range(5000)))])
+    assert sorted(c.longest for c in index.classes) == [6, 5000]
+    assert {index.ids[i] for i in index.leaks("zero " * 50 + "One, two three four five six!")} == {0}
+
+
 def test_leaks_of_nothing(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert find_leaks(docs, none).count() == 0
