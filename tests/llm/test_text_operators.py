@@ -9,18 +9,20 @@ import string
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import queries as Q
 from tessera.llm.decontamination import Index, _words, drop_leaking, find_leaks, split_item
-from tessera.llm.language_id import identify, keep_identified
+from tessera.llm.language_id import fit, identify, keep_identified
 from tessera.llm.mixing import mix_sources, take_mix
 from tessera.llm.secrets import FALSE_DISCOVERIES, battery, candidates, find_secrets, known_spans
 from tessera.llm.sharding import assign_shards
 from tessera.llm.shipping import ship
 from tessera.llm.token_counts import count_tokens
 from tessera.llm.url_rules import judge_urls, rule_table
+from tests.llm import test_similarity as similarity
 from tests.oracle import connect, rows
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -61,8 +63,17 @@ def tokenizer():
 
 
 def test_every_query_has_a_brute_force_test_or_sql():
-    assert len(Q.queries()) == 10
-    assert set(Q.oracle_sql()) <= set(Q.queries())
+    tested = {
+        "op1_token_counts": test_token_counts,
+        "op2_near_dedup": similarity.test_near_duplicates,
+        "op3_language_id": test_language_posteriors_match_brute_force,
+        "op4_line_dedup": similarity.test_line_classes,
+        "op7_decontamination": test_leaks,
+        "op8_embedding_dedup": similarity.test_embeddings,
+        "op9_secret_scan": test_secrets,
+        "op10_sharding": test_shards,
+    }
+    assert set(tested) | set(Q.oracle_sql()) == set(Q.queries())
 
 
 @pytest.mark.parametrize("name", ["op5_url_filter", "op6_source_mix"])
@@ -105,6 +116,51 @@ def test_language_of_odd_rows(docs, odd):
     assert identify(odd.limit(0)).count() == 0
 
 
+def _bucket(gram):
+    """Hash bucket of an n-gram, digit by digit of the rule."""
+    mask = (1 << 64) - 1
+    h = len(gram)
+    for c in gram:
+        h = ((h ^ (ord(c) if c.isalpha() else 32)) * 0x9E3779B97F4A7C15) & mask
+        h ^= h >> 29
+    return ((h * 0xBF58476D1CE4E5B9) & mask) >> 48
+
+
+def _grams(text):
+    low = text.lower()
+    return Counter(_bucket(low[i : i + n]) for n in (1, 2, 3) for i in range(len(low) - n + 1))
+
+
+def test_language_posteriors_match_brute_force(spark, odd):
+    ship(spark)
+    texts = {"a": ["hello there", "well met \U00010400 friend"], "b": ["добрый день", "İyi günler"], "c": ["x"]}
+    rows_ = [(lang, t) for lang, own in texts.items() for t in own] + [("a", "hello there")] * 3 + [(None, "nothing"), ("a", None)]
+    model = fit(spark.createDataFrame(rows_, "lang string, text string"))
+    counts = {lang: sum((_grams(t) for t in set(own)), Counter()) for lang, own in texts.items()}
+    labelled = Counter(lang for lang, t in rows_ if lang and t)
+    asked = ["hello", "", None, "день", "x" * 70_000, "12 3", "friend \U00010400\U00010400", "İ", "a b" * 30_000, "hello"]
+    langs, scores = model.predict(asked)
+    for text, lang, score in zip(asked, langs, scores, strict=True):
+        if not any(c.isalpha() for c in (text or "")):
+            assert (lang, score) == ("und", 0)
+            continue
+        total = {}
+        for own, seen in counts.items():
+            whole = sum(seen.values()) + 0.5 * 2**16
+            logs = {b: np.float64(np.float32(np.log((seen[b] + 0.5) / whole))) for b in _grams(text)}
+            total[own] = np.log(labelled[own] / sum(labelled.values())) + sum(n * logs[b] for b, n in _grams(text).items())
+        best = max(total, key=total.get)
+        assert lang == best
+        assert score == pytest.approx(1 / sum(np.exp(v - total[best]) for v in total.values()), rel=1e-6)
+
+
+def test_copies_do_not_empty_a_language(spark):
+    ship(spark)
+    rows_ = [("a", "all the same words")] * 50 + [("b", f"andere {w}") for w in "eins zwei drei vier".split()]
+    model = fit(spark.createDataFrame(rows_, "lang string, text string"), per_language=2)
+    assert model.predict(["all the words"])[0] == ["a"]
+
+
 def test_keep_identified_keeps_clean_documents(docs):
     kept = keep_identified(docs)
     assert kept.columns == docs.columns
