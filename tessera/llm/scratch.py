@@ -14,11 +14,14 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
 
-    Only a session without that setting gets a temporary folder; that happens
-    in tests, where the driver and the tasks are one process.
+    A local session without that setting, where the driver and the tasks are one
+    process, gets a temporary folder; on a cluster, where executors don't share
+    one, the lack is an error.
     """
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that the cluster shares")
         named = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set(CHECKPOINT_DIR, named)
     return named

@@ -45,14 +45,15 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
 
     Null text: size 1 and crc 0. Null id: hashed as a key of its own. Repeated
     rows share a shard and get slots of their own. Columns of ``docs`` named
-    like a result are replaced. An empty table gives no rows.
+    like a result are replaced, all others stay. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.col(id_col)
-    kept = [c for c in docs.columns if c not in RESULTS and (keep_text or c != text_col)]
+    kept = [f"`{c}`" for c in docs.columns if c not in RESULTS and (keep_text or c != text_col)]
+    # one column for all of theirs, so that no name of theirs meets one of ours
     rows = written(
         docs.select(
-            *kept,
+            F.struct(*kept).alias("_doc"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
             F.lit("key").alias("law"),
@@ -68,4 +69,4 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
     starts = rows.groupBy("shard", "_cell").agg(F.count("*").alias("_n")).select("shard", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     place = F.row_number().over(Window.partitionBy("shard", "_cell").orderBy("_row"))
     slot = (F.col("_start") + F.col("_place") - 1).cast("long").alias("slot")
-    return rows.withColumn("_place", place).join(starts, ["shard", "_cell"]).select(*kept, "size", "text_crc32", "law", "shard", slot, "grown_shard")
+    return rows.withColumn("_place", place).join(starts, ["shard", "_cell"]).select("_doc.*", "size", "text_crc32", "law", "shard", slot, "grown_shard")

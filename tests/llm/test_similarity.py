@@ -177,6 +177,19 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_a_cluster_must_name_a_shared_folder():
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://elsewhere:7077"
+            getConf = staticmethod(dict)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Elsewhere)
+
+
 def test_sweep_deletes_intermediate_tables(spark):
     own = Table(spark.range(5).toDF("n"), "numbers")
     assert own.path.startswith(shared_dir(spark))

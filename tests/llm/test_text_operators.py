@@ -455,6 +455,10 @@ def test_shards(docs, odd):
 
 
 def test_shards_of_odd_tables(odd):
+    ours = ("_row", "_cell", "_place", "_start", "_n", "_doc", "a.b")
+    clashing = assign_shards(odd.withColumns({c: F.lit("clash") for c in ours}))
+    assert set(ours) <= set(clashing.columns)
+    assert {tuple(r[c] for c in ours) for r in clashing.collect()} == {("clash",) * len(ours)}
     result = assign_shards(odd).collect()
     assert len(result) == len(ODD)
     assert {type(r.shard) for r in result} == {int}
