@@ -2,36 +2,59 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from tessera.llm.arrow import batches
-from tessera.llm.linking import Sketches, link, restrict
-from tessera.llm.scratch import Table, written
+from tessera.llm.components import components
+from tessera.llm.linking import Sketches, _spread, across, restrict
+from tessera.llm.scratch import release, written
 
 #: Characters of a shingle unless the caller says; a shorter line is one shingle.
 CHARS = 8
 #: Characters at which one changed character leaves a line of 39 or more linked at 0.8; it costs up to so many shingles of each line.
 EDIT_CHARS = 4
-#: Minima are cut into BANDS bands of ROWS: at a similarity of 0.8, 1 - (1 - 0.8**5)**22 = 0.9998 of pairs share one.
-#: Short shingles are common to many lines: bands of 4 would pair 5 times as many that are far apart.
-BANDS, ROWS = 22, 5
+#: Minima are cut into BANDS bands of ROWS. A pair counts if it shares a band and, of the MORE minima after that, four bits of
+#: LEAST_MORE or more: at a similarity of 0.8 with a probability of 0.8**6 * 0.947 = 0.25 a band, and 1 - (1 - 0.25)**30 = 0.9998 in all.
+#: Short shingles are common to many lines: bands of 6 alone would pair 100 times as many that are far apart.
+BANDS, ROWS = 30, 6
+MORE, LEAST_MORE = 12, 8
 MINIMA = BANDS * ROWS
+#: Bins into which the shingles of a line are thrown, a power of two; the first MINIMA give the signature.
+BINS = 256
 #: Five standard deviations of an estimate from so many minima, at 0.8.
 MARGIN = 5 * (0.8 * 0.2 / MINIMA) ** 0.5
-#: Distinct lines whose signatures a task remembers to have sent.
-TASK_LINES = 500_000
-#: Characters that are hashed at once.
-_STEP = 1 << 15
+#: Steps of a size by which the sizes of a band's lines are told apart: sizes of linked lines are at most 1.25 times each other.
+SIZE_STEPS = 20
+#: Lines, and characters of lines, that a task holds before it sends them on.
+FLUSH_LINES, FLUSH_CHARS = 60_000, 1 << 24
+#: Pairs a line that a bucket may give; denser buckets, and those of more than LARGE lines, are compared by chunks.
+DENSE, LARGE = 8, 2_048
+#: Links of which a task makes a forest.
+FOREST = 1_000_000
+#: Characters that are hashed at once, and lines whose bins are filled at once.
+_STEP, _FILL = 1 << 15, 1_000
 
-_ODD = (np.random.default_rng(20_240_602).integers(1, 2**31, size=(MINIMA, 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
+_PROBES = np.random.default_rng(20_240_602).permutation(np.arange(1, BINS))
+_EMPTY = np.uint32(0xFFFFFFFF)
+#: A band's entry: a hash of its registers, the place of its line in the flush, the step of its size, bits of more registers.
+_ENTRY = {"low": "<u2", "high": "u1", "at": "<u2", "step": "u1", "more": "<u4", "rest": "<u2"}
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
 def _shingles(codes: np.ndarray, chars: int) -> np.ndarray:
@@ -60,44 +83,90 @@ def _stored_set(stored: bytes, chars: int) -> np.ndarray:
     return line_set(stored.decode("utf-8", "surrogatepass"), chars)
 
 
-def signatures(lines: list[str], chars: int = CHARS) -> list[bytes]:
-    """MinHash signatures, 16 bits a minimum, of many lines at once."""
-    out, at = [], 0
-    while at < len(lines):
-        group, size = [], 0
-        while at < len(lines) and (not group or size + len(lines[at]) <= _STEP):
-            group.append(_codes(lines[at], chars))
-            size += len(group[-1])
-            at += 1
-        if len(group) == 1 and size > _STEP:
-            least = np.full(MINIMA, 0xFFFFFFFF, dtype=np.uint32)
-            for a in range(0, size - chars + 1, _STEP):
-                least = np.minimum(least, _minima(_shingles(group[0][a : a + _STEP + chars - 1].astype(np.uint64), chars), np.zeros(1, dtype=np.int64))[0])
-            found = least[None, :]
-        else:
+def _sketch(lines: list[str], chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """(registers, numbers of shingles) of many lines at once."""
+    regs, counts = [np.empty((0, MINIMA), dtype="<u2")], np.empty(len(lines), dtype=np.int64)
+    for start in range(0, len(lines), _FILL):
+        piece = lines[start : start + _FILL]
+        least = np.full(len(piece) * BINS, _EMPTY, dtype=np.uint32)
+        at = 0
+        while at < len(piece):
+            begin, group, size = at, [], 0
+            while at < len(piece) and (not group or size + len(piece[at]) <= _STEP):
+                group.append(_codes(piece[at], chars))
+                size += len(group[-1])
+                at += 1
             sizes = np.array([len(g) for g in group])
-            starts = np.cumsum(sizes) - sizes
-            hashed = _shingles(np.concatenate(group).astype(np.uint64), chars)
-            inside = np.ones(len(hashed), dtype=bool)
-            for back in range(1, chars):
-                inside[starts[1:] - back] = False
-            counts = sizes - chars + 1
-            found = _minima(hashed[inside], np.cumsum(counts) - counts)
-        out += [row.tobytes() for row in (found >> np.uint32(16)).astype("<u2")]
+            counts[start + begin : start + at] = sizes - chars + 1
+            if len(group) == 1:
+                for a in range(0, size - chars + 1, _STEP):
+                    _throw(least, _shingles(group[0][a : a + _STEP + chars - 1].astype(np.uint64), chars), np.int64(begin * BINS))
+            else:
+                hashed = _shingles(np.concatenate(group).astype(np.uint64), chars)
+                inside = np.ones(size, dtype=bool)
+                ends = np.cumsum(sizes)
+                for back in range(1, chars):
+                    inside[ends - back] = False
+                _throw(least, hashed[inside[: len(hashed)]], np.repeat(np.arange(begin, at) * BINS, sizes - chars + 1))
+        regs.append((_filled(least.reshape(-1, BINS)) >> np.uint32(16)).astype("<u2"))
+    return np.concatenate(regs), counts
+
+
+def _throw(least: np.ndarray, hashed: np.ndarray, first: np.ndarray) -> None:
+    """Keep the smallest hash of each bin; ``first`` is the place of a line's first bin."""
+    mixed = _mixed(hashed)
+    np.minimum.at(least, first + (mixed >> np.uint64(64 - BINS.bit_length() + 1)).view(np.int64), mixed.astype(np.uint32))
+
+
+def _filled(least: np.ndarray) -> np.ndarray:
+    """The first MINIMA bins; an empty one takes the value of the first full one among those it probes, in an order of its own that is the same in all lines."""
+    out = least[:, :MINIMA].copy()
+    alone = (least != _EMPTY).sum(axis=1) == 1
+    out[alone] = least[alone].min(axis=1, keepdims=True)
+    own = out.reshape(-1)
+    open_ = np.flatnonzero(own == _EMPTY)
+    # places in whole rows of bins; a probe flips bits of a bin's number only
+    bin_ = open_ // MINIMA * BINS + open_ % MINIMA
+    for probe in _PROBES:
+        if not len(open_):
+            break
+        found = least.take(bin_ ^ probe)
+        own[open_] = found
+        empty = found == _EMPTY
+        open_, bin_ = open_[empty], bin_[empty]
     return out
 
 
-def _minima(hashed: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    low = (hashed >> np.uint64(32)).astype(np.uint32) ^ hashed.astype(np.uint32)
-    out = np.empty((len(starts), MINIMA), dtype=np.uint32)
-    for k in range(MINIMA):
-        mixed = (low ^ _ODD[k, 1]) * _ODD[k, 0]
-        mixed ^= mixed >> np.uint32(15)
-        mixed *= np.uint32(0x2C1B3C6D)
-        out[:, k] = np.minimum.reduceat(mixed, starts)
+def signatures(lines: list[str], chars: int = CHARS) -> list[bytes]:
+    """MinHash signatures by one permutation, 16 bits a register, of many lines at once."""
+    return [row.tobytes() for row in _sketch(lines, chars)[0]]
+
+
+def _band_hashes(regs: np.ndarray) -> np.ndarray:
+    """64-bit hashes of each line's bands, by line and band."""
+    words = np.ascontiguousarray(regs).view("<u4").reshape(len(regs), BANDS, ROWS // 2)
+    hashed = np.broadcast_to(_mixed(np.arange(1, BANDS + 1, dtype=np.uint64)), words.shape[:2])
+    for k in range(ROWS // 2):
+        hashed = _mixed(hashed ^ words[:, :, k])
+    return hashed
+
+
+def _more_bits(regs: np.ndarray) -> np.ndarray:
+    """Four bits of each of the MORE registers after each band, by line and band."""
+    low, out = regs & np.uint16(15), np.zeros((len(regs), BANDS), dtype=np.uint64)
+    for k in range(MORE):
+        out |= low[:, (np.arange(1, BANDS + 1) * ROWS + k) % MINIMA].astype(np.uint64) << np.uint64(4 * k)
     return out
 
 
+def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether LEAST_MORE or more of the fours of bits are the same."""
+    differ = x ^ y
+    differ |= differ >> np.uint64(2)
+    differ |= differ >> np.uint64(1)
+    return np.bitwise_count(differ & np.uint64(0x1111111111111111)) <= MORE - LEAST_MORE
+
+
 def equal_share(na: np.ndarray, ra: np.ndarray, nb: np.ndarray, rb: np.ndarray) -> np.ndarray:
     return (ra == rb).mean(axis=1)
 
@@ -107,6 +176,298 @@ def _lines(text: str | None) -> list[tuple[int, str]]:
     return [(k, own) for k, line in enumerate((text or "").split("\n")) if (own := line.strip())]
 
 
+def _parts(spark: SparkSession) -> list[int]:
+    """A number for each partition of a shuffle that the hash of Spark deals there."""
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbers = spark.range(40 * count + 40).select(F.col("id").cast("int").alias("part"))
+    found = numbers.groupBy(F.pmod(F.hash("part"), F.lit(count)).alias("place")).agg(F.min("part").alias("part")).collect()
+    return sorted(r.part for r in found)
+
+
+_PACKED = StructType([StructField("part", IntegerType()), StructField("data", BinaryType())])
+_LINES = StructType([StructField("node", LongType()), StructField("text", BinaryType()), *[StructField(c, t) for c, t in (("id", LongType()), ("line_no", IntegerType()), ("first_id", LongType()), ("first_line_no", IntegerType()))]])
+
+
+def _packed_lines(parts: list[int]):
+    """Lines in packs by the hash of their text: equal lines of a pack share one text."""
+
+    def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[bytes, tuple[bytes, list[int], list[int]]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            packs: list[list] = [[] for _ in parts]
+            for key, (text, ids, numbers) in own.items():
+                packs[int.from_bytes(key[:4], "little") % len(parts)].append((key, text, ids, numbers))
+            yield from batches([(parts[k], pickle.dumps(x, 5)) for k, x in enumerate(packs) if x], _PACKED, 64)
+
+        rows = ((id_.as_py(), text.as_py()) for frame in frames for id_, text in zip(frame.column(0), frame.column(1), strict=True))
+        for id_, text in rows:
+            for number, line in _lines(text):
+                stored = line.encode("utf-8", "surrogatepass")
+                key = xxhash.xxh3_128_digest(stored)
+                if (entry := own.get(key)) is None:
+                    entry = own[key] = (stored, [], [])
+                    size += len(stored)
+                entry[1].append(id_)
+                entry[2].append(number)
+                size += 24
+            if size >= FLUSH_CHARS:
+                yield from flush()
+                own.clear()
+                size = 0
+        yield from flush()
+
+    return pack
+
+
+def _numbered(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) of each distinct line, then (node, id, line_no, first_id, first_line_no) of each line."""
+    base = TaskContext.get().partitionId() << 33
+    known: dict[bytes, int] = {}
+    nodes, ids, numbers = [], [], []
+    for frame in frames:
+        for data in frame.column(1):
+            fresh = []
+            for key, text, own, lines in pickle.loads(data.as_py()):
+                if (node := known.get(key)) is None:
+                    node = known[key] = len(known)
+                    fresh.append((base + node, text, None, None, None, None))
+                nodes.append(np.full(len(own), node, dtype=np.int64) if len(own) > 1 else node)
+                ids.append(own)
+                numbers.append(lines)
+            yield from batches(fresh, _LINES, 5_000)
+    if not known:
+        return
+    flat = lambda parts, kind: np.fromiter(chain.from_iterable(parts), dtype=kind)
+    node = np.concatenate([np.atleast_1d(x) for x in nodes])
+    id_, number = flat(ids, np.int64), flat(numbers, np.int64)
+    order = np.lexsort((number, id_, node))
+    node, id_, number = node[order], id_[order], number[order]
+    fresh = np.concatenate([[True], (node[1:] != node[:-1]) | (id_[1:] != id_[:-1]) | (number[1:] != number[:-1])])
+    node, id_, number = node[fresh], id_[fresh], number[fresh]
+    first = np.searchsorted(node, node)
+    for at in range(0, len(node), 50_000):
+        to = slice(at, at + 50_000)
+        columns = [base + node[to], [None] * len(node[to]), id_[to], number[to].astype(np.int32), id_[first[to]], number[first[to]].astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, to_arrow_schema(_LINES), strict=True)], schema=to_arrow_schema(_LINES))
+
+
+def _part_of(hashed: np.ndarray, parts: int) -> np.ndarray:
+    return ((hashed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _packed_bands(parts: list[int], chars: int):
+    """Entries of the bands of (node, text), in packs by their hash."""
+
+    def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes: list[int] = []
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            hashed, sizes, more = (np.concatenate(x) for x in zip(*kept, strict=True))
+            order = np.argsort(hashed, axis=None)
+            dealt, line = hashed.reshape(-1)[order], order // BANDS
+            part_of = _part_of(dealt, len(parts))
+            step = (np.log(sizes) * SIZE_STEPS).astype("u1")
+            cuts = np.searchsorted(part_of, np.arange(len(parts) + 1))
+            more = more.reshape(-1)[order]
+            entry = {"low": dealt.astype("<u2"), "high": (dealt >> np.uint64(16)).astype("u1"), "at": line.astype("<u2"), "step": step[line], "more": more.astype("<u4"), "rest": (more >> np.uint64(32)).astype("<u2")}
+            known = np.array(nodes, dtype=np.int64)
+            run = bool((np.diff(known) == 1).all())
+            rows = []
+            for k, part in enumerate(parts):
+                own = {c: x[cuts[k] : cuts[k + 1]] for c, x in entry.items()}
+                # nodes that follow one another are told by the first
+                base = known[:1]
+                if not run and len(own["at"]):
+                    base, own["at"] = np.unique(own["at"], return_inverse=True)
+                    base, own["at"] = known[base], own["at"].astype("<u2")
+                if len(own["at"]):
+                    rows.append((part, pickle.dumps((k, run, base, *[x.tobytes() for x in own.values()]), 5)))
+            yield from batches(rows, _PACKED, 64)
+
+        for frame in frames:
+            for at in range(0, frame.num_rows, 5_000):
+                piece = frame.slice(at, 5_000)
+                regs, sizes = _sketch([x.decode("utf-8", "surrogatepass") for x in piece.column(1).to_pylist()], chars)
+                kept.append((_band_hashes(regs), sizes, _more_bits(regs)))
+                nodes += piece.column(0).to_pylist()
+                if len(nodes) > FLUSH_LINES - 5_000:
+                    yield from flush()
+                    nodes.clear()
+                    kept.clear()
+        if nodes:
+            yield from flush()
+
+    return pack
+
+
+def _shared_bands(num: int, den: int):
+    """From packs of entries: (a, b) of lines that may be alike by a bucket; of a dense bucket (a, band) of each such line, and pairs with its first one."""
+    most = int(np.log(den / num) * SIZE_STEPS) + 1
+
+    def likely(ends: np.ndarray, step: np.ndarray, more: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at, gap = np.arange(len(ends)), 1
+        while len(at := at[at + gap < ends[at]]):
+            left = at[(np.abs(step[at] - step[at + gap]) <= most) & _agree(more[at], more[at + gap])]
+            yield left, left + gap
+            gap += 1
+
+    def share(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_part: dict[int, list] = {}
+        for frame in frames:
+            for data in frame.column(1):
+                part, run, base, *own = pickle.loads(data.as_py())
+                low, high, place, step, more, rest = (np.frombuffer(x, dtype=kind) for x, kind in zip(own, _ENTRY.values(), strict=True))
+                hashed = high.astype(np.uint32) << np.uint32(16) | low
+                by_part.setdefault(part, []).append((hashed, base[0] + place.astype(np.int64) if run else base[place], step, rest.astype(np.uint64) << np.uint64(32) | more))
+        for part, packs in by_part.items():
+            hashed, node, step, more = (np.concatenate(x) for x in zip(*packs, strict=True))
+            order = np.argsort(hashed)
+            hashed = hashed[order]
+            same = hashed[1:] == hashed[:-1]
+            some = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            order, hashed = order[some], hashed[some]
+            node, step, more = node[order], step[order].astype(np.int16), more[order]
+            starts = np.flatnonzero(np.concatenate([[True], hashed[1:] != hashed[:-1]])) if len(hashed) else np.empty(0, dtype=np.int64)
+            sizes = np.diff(np.append(starts, len(hashed)))
+            bucket = np.repeat(np.arange(len(starts)), sizes)
+            large = (sizes > LARGE)[bucket]
+            ends = np.where(large, 0, (starts + sizes)[bucket])
+            # what a bucket gives is counted before it is made
+            count, wanted = np.zeros(len(starts), dtype=np.int64), large.copy()
+            for left, right in likely(ends, step, more):
+                np.add.at(count, bucket[left], 1)
+                wanted[left] = wanted[right] = True
+            dense = wanted & (large | (count > DENSE * sizes)[bucket])
+            pairs = [(node[left], node[right]) for left, right in likely(np.where(dense, 0, ends), step, more)]
+            inside = np.flatnonzero(dense)
+            hub = np.full(len(starts), len(node), dtype=np.int64)
+            np.minimum.at(hub, bucket[inside], inside)
+            pairs.append((node[hub[bucket[inside]]], node[inside]))
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
+            for columns in (a, b, None), (node[inside], None, (part << 24) + hashed[inside].astype(np.int64)):
+                for at in range(0, len(columns[0]), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(columns[0][at : at + 50_000]), pa.int64()) if c is None else pa.array(c[at : at + 50_000]) for c in columns], names=["a", "b", "band"])
+
+    return share
+
+
+def _shingle_sets(lines: list[str], chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct place << 50 | hash of the shingles of the line in that place, number of them by place)."""
+    codes = [_codes(x, chars) for x in lines]
+    sizes = np.array([len(c) for c in codes])
+    hashed = _shingles(np.concatenate(codes).astype(np.uint64), chars)
+    inside = np.ones(len(hashed) + chars - 1, dtype=bool)
+    for back in range(1, chars):
+        inside[np.cumsum(sizes) - back] = False
+    place = np.repeat(np.arange(len(lines), dtype=np.uint64), sizes)[inside]
+    keys = np.sort(place << np.uint64(50) | hashed[inside[: len(hashed)]] >> np.uint64(14))
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    return keys, np.bincount((keys >> np.uint64(50)).astype(np.int64), minlength=len(lines))
+
+
+def _repeated_sets(stored: list[bytes], chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """``_shingle_sets`` of stored lines, made once for each distinct one."""
+    place = {x: k for k, x in enumerate(dict.fromkeys(stored))}
+    keys, sizes = _shingle_sets([x.decode("utf-8", "surrogatepass") for x in place], chars)
+    of = np.array([place[x] for x in stored])
+    counts = sizes[of]
+    keys = keys[_spread((np.cumsum(sizes) - sizes)[of], counts)] & np.uint64((1 << 50) - 1)
+    return np.repeat(np.arange(len(of), dtype=np.uint64) << np.uint64(50), counts) | keys, counts
+
+
+def _alike_lines(num: int, den: int, chars: int):
+    """The pairs (a, b) of (a, b, text of a, text of b) whose whole sets have the similarity that links."""
+
+    def check(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            ok = []
+            for at in range(0, frame.num_rows, 200):
+                (one, na), (two, nb) = (_repeated_sets(frame.column(k).slice(at, 200).to_pylist(), chars) for k in (2, 3))
+                keys = np.sort(np.concatenate([one, two]), kind="stable")
+                both = np.bincount((keys[1:][keys[1:] == keys[:-1]] >> np.uint64(50)).astype(np.int64), minlength=len(na))
+                ok.append((both > 0) & (den * both >= num * (na + nb - both)))
+            mask = pa.array(np.concatenate(ok) if ok else [], pa.bool_())
+            yield pa.RecordBatch.from_arrays([frame.column(0).filter(mask), frame.column(1).filter(mask)], names=["u", "v"])
+
+    return check
+
+
+def _large_members(parts: int, chars: int):
+    """(no, band, node, n, sig) of the lines of large buckets, from (node, text, bands)."""
+    schema = StructType([StructField("no", IntegerType()), StructField("band", LongType()), StructField("node", LongType()), StructField("n", IntegerType()), StructField("sig", BinaryType())])
+
+    def place(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for at in range(0, frame.num_rows, 1_000):
+                node, text, bands = (frame.column(k).slice(at, 1_000).to_pylist() for k in range(3))
+                regs, _ = _sketch(lines := [x.decode("utf-8", "surrogatepass") for x in text], chars)
+                hashed = _band_hashes(regs)
+                hashed = (_part_of(hashed, parts) << 24) + (hashed & np.uint64(0xFFFFFF)).astype(np.int64)
+                sizes = _shingle_sets(lines, chars)[1].tolist()
+                yield from batches([(no, own[no], node[k], sizes[k], regs[k].tobytes()) for k, own in enumerate(hashed.tolist()) for no in range(BANDS) if own[no] in bands[k]], schema)
+
+    return place, schema
+
+
+def _forest(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v): a link of each node that has a smaller one with the smallest that the links of this task lead to."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    for frame in frames:
+        for x, y in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    yield from batches([(x, root(x)) for x in up], StructType([StructField("u", LongType()), StructField("v", LongType())]))
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """Components of ``links`` (u, v), of which tasks first make forests: a group of near copies has many links."""
+    tasks = 1 + links.count() // FOREST
+    return components(links.coalesce(tasks).mapInArrow(_forest, "u long, v long"))
+
+
+def _labels(texts: DataFrame, num: int, den: int, chars: int) -> DataFrame:
+    """(node, component) of all linked lines of ``texts`` (node, text).
+
+    Likely pairs of a bucket are all checked on their whole sets, unless it has
+    many. Then each line is checked with the first, which joins most of a group
+    of near copies; what is still apart there is compared by chunks.
+    """
+    spark = texts.sparkSession
+    parts = _parts(spark)
+    entries = texts.mapInArrow(_packed_bands(parts, chars), _PACKED).repartition(len(parts), "part")
+    found = written(entries.mapInArrow(_shared_bands(num, den), "a long, b long, band long"), "found")
+    release(spark)
+    pairs = written(found.where("b is not null").select("a", "b").distinct(), "pairs")
+    large = found.where("b is null").select(F.col("a").alias("node"), "band")
+    texts_of = lambda wanted: restrict(texts, wanted, "node")
+    wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+    sets = written(texts_of(wanted), "sets")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
+    first = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_alike_lines(num, den, chars), "u long, v long"), "links")
+    if large.isEmpty():
+        return _joined(first)
+    labels = written(_joined(first), "labels")
+    bands = large.groupBy("node").agg(F.collect_set("band").alias("bands"))
+    place, schema = _large_members(len(parts), chars)
+    members = written(texts_of(bands.select("node")).join(bands, "node").select("node", "text", "bands").mapInArrow(place, schema), "members")
+    fetch = lambda wanted: texts_of(wanted).select("node", F.col("text").alias("set"))
+    s = Sketches(members.select("node", "n", "sig").dropDuplicates(["node"]), ROWS * 2, BANDS, "<u2", fetch, equal_share, num / den - MARGIN, num, den, partial(_stored_set, chars=chars))
+    second = written(across(s, members.select("no", "band", "node"), labels), "links")
+    return labels if second.isEmpty() else _joined(first.union(second))
+
+
 def line_classes(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", chars: int = CHARS) -> DataFrame:
     """(id, line_no, first_id, first_line_no, kept) of every line that is not blank.
 
@@ -115,64 +476,26 @@ def line_classes(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "
     kept. Equal lines are one node, found by a 128-bit hash, so a line that a
     third of all documents share is never paired with itself.
 
+    Lines and bands travel in packs, one row for each task and partition; a
+    partition's must fit into its task, as ``spark.sql.shuffle.partitions`` sets.
+
     Null and empty texts have no lines. Rows with a null id take no part.
     Repeated rows of an id are one document. Lines of any length are read
     whole. Extra columns are not read. An empty table gives no rows.
     """
-    schema = StructType([StructField("id", LongType()), StructField("line_no", IntegerType()), StructField("key", BinaryType()), StructField("sig", BinaryType())])
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    def sketch(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[bytes] = set()
-        for batch in found:
-            for at in range(0, batch.num_rows, 256):
-                rows, fresh = [], []
-                piece = batch.slice(at, 256)
-                for id_, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                    for number, line in _lines(text):
-                        key = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
-                        if key not in sent:
-                            if len(sent) >= TASK_LINES:
-                                sent.clear()
-                            sent.add(key)
-                            fresh.append((len(rows), line))
-                        rows.append((id_, number, key, None))
-                for (k, _), sig in zip(fresh, signatures([line for _, line in fresh], chars), strict=True):
-                    rows[k] = (*rows[k][:3], sig)
-                yield from batches(rows, schema)
-
-    sketched = Table(source.mapInArrow(sketch, schema), "lines")
-    occurrences = written(sketched.df.select("id", "line_no", "key").distinct(), "occurrences")
-    by_key = sketched.df.where("sig is not null").groupBy("key").agg(F.min("sig").alias("sig"))
-    first = occurrences.groupBy("key").agg(F.min(F.struct("id", "line_no")).alias("first"))
-    nodes = written(by_key.join(first, "key").select(F.monotonically_increasing_id().alias("node"), F.lit(1).alias("n"), "key", "sig", "first"), "nodes")
-    sketched.drop()
-
-    def fetch(wanted: DataFrame) -> DataFrame:
-        def sets(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in found:
-                rows = []
-                for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    lines = dict(_lines(text))
-                    for a in asked:
-                        line = lines.get(a["line_no"])
-                        if line is not None and xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")) == a["key"]:
-                            rows.append((a["node"], line.encode("utf-8", "surrogatepass")))
-                yield from batches(rows, StructType([StructField("node", LongType()), StructField("set", BinaryType())]))
-
-        asked = nodes.join(wanted, "node", "left_semi").groupBy(F.col("first.id").alias("asked_id")).agg(F.collect_list(F.struct("node", F.col("first.line_no").alias("line_no"), "key")).alias("asked"))
-        asked = written(asked, "asked")
-        texts = restrict(source, asked.select(F.col("asked_id").alias("node")), "id")
-        joined = texts.join(asked, texts["id"] == F.col("asked_id")).select("text", "asked")
-        return joined.mapInArrow(sets, "node long, set binary").dropDuplicates(["node"])
-
-    labels = link(Sketches(nodes.select("node", "n", "sig"), ROWS * 2, BANDS, "<u2", fetch, equal_share, num / den - MARGIN, num, den, partial(_stored_set, chars=chars)))
-    linked = labels.join(nodes.select("node", "key", "first"), "node")
-    firsts = linked.groupBy("component").agg(F.min("first").alias("winner"))
-    of_key = first.join(linked.join(firsts, "component").select("key", "winner"), "key", "left").select("key", F.coalesce("winner", "first").alias("winner"))
-    judged = occurrences.join(of_key, "key")
-    kept = (F.col("id") == F.col("winner.id")) & (F.col("line_no") == F.col("winner.line_no"))
-    return judged.select(F.col("id").alias(id_col), "line_no", F.col("winner.id").alias("first_id"), F.col("winner.line_no").alias("first_line_no"), kept.alias("kept"))
+    parts = _parts(docs.sparkSession)
+    lines = written(source.mapInArrow(_packed_lines(parts), _PACKED).repartition(len(parts), "part").mapInArrow(_numbered, _LINES), "lines")
+    # the shuffle's files are as large as the lines, and those of the bands are to come
+    release(docs.sparkSession)
+    labels = written(_labels(lines.where("text is not null").select("node", "text"), num, den, chars), "labels")
+    occurrences = lines.where("text is null").select("node", "id", "line_no", "first_id", "first_line_no")
+    of_linked = occurrences.where("id = first_id and line_no = first_line_no").join(labels, "node")
+    winners = of_linked.groupBy("component").agg(F.min(F.struct("first_id", "first_line_no")).alias("winner"))
+    judged = occurrences.join(labels.join(winners, "component").select("node", "winner"), "node", "left")
+    won = lambda c: F.coalesce(F.col(f"winner.{c}"), F.col(c))
+    kept = (F.col("id") == won("first_id")) & (F.col("line_no") == won("first_line_no"))
+    return judged.select(F.col("id").alias(id_col), "line_no", won("first_id").alias("first_id"), won("first_line_no").alias("first_line_no"), kept.alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", chars: int = CHARS) -> DataFrame:

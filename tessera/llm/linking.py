@@ -204,7 +204,7 @@ def _dealt(labelled: DataFrame) -> DataFrame:
     return dealt.select("no", "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component")
 
 
-def _across(s: Sketches, members: DataFrame, labels: DataFrame) -> DataFrame:
+def across(s: Sketches, members: DataFrame, labels: DataFrame) -> DataFrame:
     """(u, v): links between components that share a bucket, as a forest of each group.
 
     Only buckets with several components are looked at. Their members are dealt
@@ -293,7 +293,7 @@ def link(s: Sketches) -> DataFrame:
     scored = written(_score(s, best), "scored")
     first = written(_verified(s, scored).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     labels = written(components(first), "labels")
-    second = written(_across(s, members, labels), "links")
+    second = written(across(s, members, labels), "links")
     if second.isEmpty():
         return labels
     return components(first.union(second))

@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def _release(spark: SparkSession) -> None:
+def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of jobs that nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -58,7 +58,7 @@ class Table:
         self.path = f"{_own_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        _release(self.spark)
+        release(self.spark)
 
     def drop(self) -> None:
         """Delete the files; only for tables that no lazy result reads."""

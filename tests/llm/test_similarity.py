@@ -6,11 +6,12 @@ import random
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import hot, line_dedup, linking, near_dedup
+from tessera.llm import hot, line_dedup, linking, near_dedup, scratch
 from tessera.llm.components import components
 from tessera.llm.decontamination import find_leaks
 from tessera.llm.embedding_dedup import near_embeddings
@@ -264,6 +265,20 @@ def test_dedup_lines(line_docs):
     assert line_classes(line_docs.limit(0)).count() == 0
 
 
+def test_lines_take_little_disk(spark, tmp_path, monkeypatch):
+    """Tables of op4 hold the lines and no signatures; its packs of bands stay under 400 bytes a line."""
+    rng = random.Random(12)
+    count = 4_000
+    lines = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(60)).strip() for _ in range(count)]
+    spark.createDataFrame([(k, "\n".join(lines[k::40])) for k in range(40)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    assert op4_line_dedup(spark, str(tmp_path)).where("kept").count() == len(set(lines))
+    assert sum(p.stat().st_size for p in (tmp_path / "shared").rglob("*.parquet")) < 150 * count
+    batch = pa.RecordBatch.from_arrays([pa.array(range(count), pa.int64()), pa.array([x.encode() for x in lines])], names=["node", "text"])
+    packs = list(line_dedup._packed_bands(list(range(8)), 4)(iter([batch])))
+    assert sum(len(x) for p in packs for x in p.column(1).to_pylist()) < 400 * count
+
+
 def test_one_changed_character_in_short_lines(spark, tmp_path):
     """op4 against brute force over 4-character shingles made without the operator's code."""
     ship(spark)
