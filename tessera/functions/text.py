@@ -1,9 +1,11 @@
-"""Text functions as Column expressions; all stay in the JVM."""
+"""Text functions as Column expressions; all but the fuzzy distances stay in the JVM."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,24 +86,54 @@ def duration_ms(text: Column) -> Column:
     return F.when(number != "", F.round(F.when(number != "", number).cast("double") * factor)).cast("long")
 
 
-def _piece_distance(line: Column, size: int, needle: Column):
-    return lambda at: F.levenshtein(F.substring(line, at, F.lit(size)), needle)
+def fuzzy_distances(patterns: list[str], most: int) -> Callable[[Column], Column]:
+    """Column function: of each of ``patterns``, in their order, the edit distance to a line where it fits best, null above ``most``.
 
-
-def fuzzy_distance(line: Column, pattern: str, most: int) -> Column:
-    """Edit distance of ``pattern`` to ``line`` where it fits best, null above ``most``.
-
-    0 if the line contains it; else the least over its words and over its
-    substrings of the pattern's length, up to ``most`` characters more or less.
+    That is 0 if the line contains the pattern, else the least over all its
+    substrings; words are such, and so are all pieces of the pattern's length up
+    to ``most`` characters more or less. A batch's lines are one row of
+    characters, and each character of a pattern one pass over it; its code
+    travels by value.
     """
-    size, needle = len(pattern), F.lit(pattern)
-    words = F.transform(F.filter(F.split(line, r"\s+"), lambda w: w != ""), lambda w: F.levenshtein(w, needle))
-    pieces = []
-    for n in range(max(1, size - most), size + most + 1):
-        starts = F.sequence(F.lit(1), F.greatest(F.length(line) - n + 1, F.lit(1)))
-        pieces.append(F.transform(starts, _piece_distance(line, n, needle)))
-    least = F.array_min(F.concat(words, *pieces))
-    return F.when(F.contains(line, needle), 0).when(least <= most, least).cast("int")
+
+    @F.pandas_udf("array<int>")
+    def distances(lines: pd.Series) -> pd.Series:
+        known = lines.notna().to_numpy()
+        # a number that is no character stands before each line
+        rows = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for x in lines[known]]
+        found: list = [None] * len(lines)
+        places = np.flatnonzero(known)
+        start = 0
+        while start < len(rows):
+            end, size = start, 0
+            while end < len(rows) and (end == start or size + len(rows[end]) < 1 << 15):
+                size += len(rows[end]) + 1
+                end += 1
+            sizes = np.array([len(r) + 1 for r in rows[start:end]])
+            begins = np.cumsum(sizes) - sizes
+            codes = np.full(int(sizes.sum()), 0xFFFFFFFF, dtype=np.uint32)
+            inside = np.ones(len(codes), dtype=bool)
+            inside[begins] = False
+            codes[inside] = np.concatenate(rows[start:end])
+            by_pattern = []
+            for pattern in patterns:
+                # least edits from the pattern so far to a piece that ends here, cut at most + 1
+                edits = np.zeros(len(codes), dtype=np.uint8)
+                for k, c in enumerate(pattern, 1):
+                    now = edits + np.uint8(1)
+                    np.minimum(now[1:], edits[:-1] + (codes[1:] != ord(c)), out=now[1:])
+                    now[begins] = min(k, most + 1)
+                    for _ in range(most):
+                        np.minimum(now[1:], now[:-1] + np.uint8(1), out=now[1:])
+                        now[begins] = min(k, most + 1)
+                    edits = np.minimum(now, np.uint8(most + 1))
+                by_pattern.append(np.minimum.reduceat(edits, begins).tolist())
+            for place, row in zip(places[start:end], zip(*by_pattern, strict=True), strict=True):
+                found[place] = [x if x <= most else None for x in row]
+            start = end
+        return pd.Series(found, index=lines.index, dtype=object)
+
+    return distances
 
 
 def semver_parts(version: Column) -> Column:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.operators import rust_strings
+import random
+
+from pyspark.sql import functions as F
+
+from tessera.functions import text
+from tessera.operators import rust_strings, search
 from tessera.plans.registry import registered
 from tessera.plans.text_queries import COMBOS, CONVERSATION_WORDS
 
@@ -74,3 +79,23 @@ def test_rules_of_every_document(spark, tmp_path):
     assert {("s/en/doc_0.rs", "W77"), ("s/en/doc_1.rs", "W78"), ("s/en/doc_2.rs", "W79")} <= found
     assert any(f == "s/en/doc_3.rs" for f, _ in found)
     assert not any(f == "s/en/doc_4.rs" for f, _ in found)
+
+
+def test_fuzzy_grep_is_one_pass(spark):
+    """Distances against brute force over all pieces; no edit distance is made for each piece."""
+    rng, patterns = random.Random(3), ["error", "ab", "é😀x", "memory leak"]
+    lines = ["", "memory leek", "eror", "é😀x", "é x", None, *["".join(rng.choice("aberomy lkx😀é") for _ in range(rng.randint(1, 30))) for _ in range(200)], "z" * 40_000 + "errr"]
+    rows = spark.createDataFrame(list(enumerate(lines)), "k int, line string")
+    for most in (0, 1, 2, 3):
+        found = rows.select("k", text.fuzzy_distances(patterns, most)(F.col("line")).alias("d"))
+        for r in found.collect():
+            line = lines[r.k]
+            if line is None:
+                assert r.d is None
+                continue
+            short = line[-60:]
+            pieces = {short[i:j] for i in range(len(short) + 1) for j in range(i, min(len(short), i + 15) + 1)}
+            least = [min(_edits(x, p) for x in pieces) if len(p) <= 5 else None for p in patterns]
+            assert [x for x, p in zip(r.d, patterns, strict=True) if len(p) <= 5] == [x if x <= most else None for x in least if x is not None]
+    plan = search.agrep(spark.createDataFrame([("x", "fatal eror")], "id string, content string"), patterns, 2)._jdf.queryExecution().toString()
+    assert "levenshtein" not in plan.lower()
