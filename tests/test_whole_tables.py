@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import rust_strings, search
+from tessera.operators import logic, rust_strings, search
 from tessera.plans.registry import registered
 from tessera.plans.text_queries import COMBOS, CONVERSATION_WORDS
 
@@ -27,6 +27,28 @@ def test_closure_of_every_line(spark, tmp_path):
     assert sorted(found) == sorted((f"n{a}", f"n{b}") for a, b in reach)
 
 
+def test_closure_of_cycles_and_hubs(spark, monkeypatch):
+    """Against brute force; what passes write stays small where all pairs lead over a few inner nodes."""
+    rng, written, cut = random.Random(4), [], logic._cut
+    monkeypatch.setattr(logic, "_cut", lambda df: written.append(cut(df)) or written[-1])
+    for nodes, count in ((12, 10), (30, 25), (30, 45), (8, 40)):
+        edges = {(f"n{rng.randrange(nodes)}", f"n{rng.randrange(nodes)}") for _ in range(count)}
+        reach = set(edges)
+        while more := {(a, d) for a, b in reach for c, d in edges if b == c} - reach:
+            reach |= more
+        found = logic.closure(spark.createDataFrame(list(edges), "a0 string, a1 string")).collect()
+        assert sorted((r.a0, r.a1) for r in found) == sorted(reach)
+    written.clear()
+    hub = spark.createDataFrame([(f"a{k}", "m") for k in range(200)] + [("m", f"b{k}") for k in range(200)], "a0 string, a1 string")
+    assert logic.closure(hub).count() == 200 * 200 + 400
+    assert max(df.count() for df in written) == 400
+    written.clear()
+    lines = spark.createDataFrame([(k, 1) for k in range(200)] + [(10, 2 + k) for k in range(200)], "l_suppkey long, l_partkey long")
+    monkeypatch.setattr("tessera.plans.relations.table", lambda *_: lines)
+    assert QUERIES["jn04_lg05_closure_whole"].run(spark, "").count() > 200 * 200
+    assert max(df.count() for df in written) < 1_000
+
+
 def _edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
