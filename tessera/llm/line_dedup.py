@@ -310,7 +310,8 @@ def _shared_bands(num: int, den: int):
     def likely(ends: np.ndarray, step: np.ndarray, more: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at, gap = np.arange(len(ends)), 1
         while len(at := at[at + gap < ends[at]]):
-            left = at[(np.abs(step[at] - step[at + gap]) <= most) & _agree(more[at], more[at + gap])]
+            # no prune by step: it counts places, and lines that repeat themselves have equal sets at other lengths
+            left = at[_agree(more[at], more[at + gap])]
             yield left, left + gap
             gap += 1
 
