@@ -5,7 +5,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +37,15 @@ BINS = 256
 MARGIN = 5 * (0.8 * 0.2 / MINIMA) ** 0.5
 #: Steps of a size by which the sizes of a band's lines are told apart: sizes of linked lines are at most 1.25 times each other.
 SIZE_STEPS = 20
+#: Nodes of a block, whose lines are packed together, and lines of a pack at most: a line that many documents share has several packs.
+BLOCK_BITS, PACK = 12, 50_000
+BLOCK = 1 << BLOCK_BITS
 #: Lines, and characters of lines, that a task holds before it sends them on.
 FLUSH_LINES, FLUSH_CHARS = 60_000, 1 << 24
 #: Pairs a line that a bucket may give; denser buckets, and those of more than LARGE lines, are compared by chunks.
 DENSE, LARGE = 8, 2_048
+#: How tables of texts are written: none repeats, and the third level takes 30 % more time to save 14 % of the bytes.
+TEXTS = {"parquet.compression.codec.zstd.level": "1", "parquet.enable.dictionary": "false"}
 #: Links of which a task makes a forest.
 FOREST = 1_000_000
 #: Characters that are hashed at once, and lines whose bins are filled at once.
@@ -67,15 +72,22 @@ def _shingles(codes: np.ndarray, chars: int) -> np.ndarray:
     return hashed
 
 
-def _codes(line: str, chars: int) -> np.ndarray:
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+def _codes(lines: list[str], chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of all lines, number of them by line)."""
+    sizes = np.array([len(x) for x in lines], dtype=np.int64)
+    short = np.flatnonzero(sizes < chars)
+    if not len(short):
+        return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), sizes
+    codes = np.frombuffer("".join([x.ljust(chars) for x in lines]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
     # a short line is filled up with a value that is no character, so that it has one shingle
-    return np.concatenate([codes, np.full(chars - len(codes), 0xFFFFFFFF, dtype=np.uint32)]) if len(codes) < chars else codes
+    filled = np.maximum(sizes, chars)
+    codes[_spread((np.cumsum(filled) - filled + sizes)[short], chars - sizes[short])] = 0xFFFFFFFF
+    return codes, filled
 
 
 def line_set(line: str, chars: int = CHARS) -> np.ndarray:
     """Sorted hashes of the distinct shingles of a line."""
-    return np.unique(_shingles(_codes(line, chars).astype(np.uint64), chars))
+    return np.unique(_shingles(_codes([line], chars)[0].astype(np.uint64), chars))
 
 
 def _stored_set(stored: bytes, chars: int) -> np.ndarray:
@@ -91,18 +103,17 @@ def _sketch(lines: list[str], chars: int) -> tuple[np.ndarray, np.ndarray]:
         least = np.full(len(piece) * BINS, _EMPTY, dtype=np.uint32)
         at = 0
         while at < len(piece):
-            begin, group, size = at, [], 0
-            while at < len(piece) and (not group or size + len(piece[at]) <= _STEP):
-                group.append(_codes(piece[at], chars))
-                size += len(group[-1])
+            begin, size = at, 0
+            while at < len(piece) and (at == begin or size + len(piece[at]) <= _STEP):
+                size += max(len(piece[at]), chars)
                 at += 1
-            sizes = np.array([len(g) for g in group])
+            codes, sizes = _codes(piece[begin:at], chars)
             counts[start + begin : start + at] = sizes - chars + 1
-            if len(group) == 1:
+            if len(sizes) == 1:
                 for a in range(0, size - chars + 1, _STEP):
-                    _throw(least, _shingles(group[0][a : a + _STEP + chars - 1].astype(np.uint64), chars), np.int64(begin * BINS))
+                    _throw(least, _shingles(codes[a : a + _STEP + chars - 1].astype(np.uint64), chars), np.int64(begin * BINS))
             else:
-                hashed = _shingles(np.concatenate(group).astype(np.uint64), chars)
+                hashed = _shingles(codes.astype(np.uint64), chars)
                 inside = np.ones(size, dtype=bool)
                 ends = np.cumsum(sizes)
                 for back in range(1, chars):
@@ -153,9 +164,13 @@ def _band_hashes(regs: np.ndarray) -> np.ndarray:
 
 def _more_bits(regs: np.ndarray) -> np.ndarray:
     """Four bits of each of the MORE registers after each band, by line and band."""
-    low, out = regs & np.uint16(15), np.zeros((len(regs), BANDS), dtype=np.uint64)
-    for k in range(MORE):
-        out |= low[:, (np.arange(1, BANDS + 1) * ROWS + k) % MINIMA].astype(np.uint64) << np.uint64(4 * k)
+    low, own = (regs & np.uint16(15)).reshape(len(regs), BANDS, ROWS), np.zeros((len(regs), BANDS), dtype=np.uint64)
+    for k in range(ROWS):
+        own |= low[:, :, k].astype(np.uint64) << np.uint64(4 * k)
+    out = np.zeros_like(own)
+    # MORE is a multiple of ROWS: whole bands after one's own
+    for k in range(MORE // ROWS):
+        out |= np.roll(own, -1 - k, axis=1) << np.uint64(4 * ROWS * k)
     return out
 
 
@@ -185,72 +200,139 @@ def _parts(spark: SparkSession) -> list[int]:
 
 
 _PACKED = StructType([StructField("part", IntegerType()), StructField("data", BinaryType())])
-_LINES = StructType([StructField("node", LongType()), StructField("text", BinaryType()), *[StructField(c, t) for c, t in (("id", LongType()), ("line_no", IntegerType()), ("first_id", LongType()), ("first_line_no", IntegerType()))]])
+_LINES = StructType([StructField("node", LongType()), StructField("text", BinaryType()), StructField("block", LongType()), StructField("data", BinaryType())])
 
 
 def _packed_lines(parts: list[int]):
     """Lines in packs by the hash of their text: equal lines of a pack share one text."""
 
     def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[bytes, tuple[bytes, list[int], list[int]]] = {}
+        known: dict[bytes, int] = {}
+        texts: list[bytes] = []
+        of, ids, numbers = [], [], []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            packs: list[list] = [[] for _ in parts]
-            for key, (text, ids, numbers) in own.items():
-                packs[int.from_bytes(key[:4], "little") % len(parts)].append((key, text, ids, numbers))
-            yield from batches([(parts[k], pickle.dumps(x, 5)) for k, x in enumerate(packs) if x], _PACKED, 64)
-
-        rows = ((id_.as_py(), text.as_py()) for frame in frames for id_, text in zip(frame.column(0), frame.column(1), strict=True))
-        for id_, text in rows:
-            for number, line in _lines(text):
-                stored = line.encode("utf-8", "surrogatepass")
-                key = xxhash.xxh3_128_digest(stored)
-                if (entry := own.get(key)) is None:
-                    entry = own[key] = (stored, [], [])
-                    size += len(stored)
-                entry[1].append(id_)
-                entry[2].append(number)
-                size += 24
-            if size >= FLUSH_CHARS:
-                yield from flush()
-                own.clear()
-                size = 0
-        yield from flush()
+            keys = np.frombuffer(b"".join(known), dtype="V16")
+            part_of = (keys.view("<u4")[::4] % np.uint32(len(parts))).astype(np.int64)
+            order = np.argsort(part_of, kind="stable")
+            cuts = np.searchsorted(part_of[order], np.arange(len(parts) + 1))
+            place = np.empty(len(keys), dtype=np.int64)
+            place[order] = np.arange(len(keys)) - cuts[part_of[order]]
+            text, id_, number = np.array(of), np.array(ids, dtype=np.int64), np.array(numbers, dtype=np.int32)
+            lines = np.argsort(part_of[text], kind="stable")
+            ends = np.searchsorted(part_of[text][lines], np.arange(len(parts) + 1))
+            rows = []
+            for k, part in enumerate(parts):
+                if len(mine := order[cuts[k] : cuts[k + 1]]):
+                    own = lines[ends[k] : ends[k + 1]]
+                    columns = keys[mine], place[text[own]].astype("<u4"), id_[own], number[own]
+                    rows.append((part, pickle.dumps(([texts[x] for x in mine.tolist()], *[x.tobytes() for x in columns]), 5)))
+            yield from batches(rows, _PACKED, 64)
+
+        for frame in frames:
+            for at in range(0, frame.num_rows, 500):
+                piece = frame.slice(at, 500)
+                for id_, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                    for number, line in _lines(text):
+                        stored = line.encode("utf-8", "surrogatepass")
+                        key = xxhash.xxh3_128_digest(stored)
+                        if (place := known.get(key)) is None:
+                            place = known[key] = len(texts)
+                            texts.append(stored)
+                            size += len(stored)
+                        of.append(place)
+                        ids.append(id_)
+                        numbers.append(number)
+                        size += 24
+                    if size >= FLUSH_CHARS:
+                        yield from flush()
+                        for held in known, texts, of, ids, numbers:
+                            held.clear()
+                        size = 0
+        if known:
+            yield from flush()
 
     return pack
 
 
 def _numbered(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) of each distinct line, then (node, id, line_no, first_id, first_line_no) of each line."""
+    """(node, text) of each distinct line, then (block, data) of all lines in packs by blocks of nodes."""
     base = TaskContext.get().partitionId() << 33
+    schema = to_arrow_schema(_LINES)
     known: dict[bytes, int] = {}
     nodes, ids, numbers = [], [], []
     for frame in frames:
         for data in frame.column(1):
-            fresh = []
-            for key, text, own, lines in pickle.loads(data.as_py()):
-                if (node := known.get(key)) is None:
-                    node = known[key] = len(known)
-                    fresh.append((base + node, text, None, None, None, None))
-                nodes.append(np.full(len(own), node, dtype=np.int64) if len(own) > 1 else node)
-                ids.append(own)
-                numbers.append(lines)
-            yield from batches(fresh, _LINES, 5_000)
+            texts, keys, place, own_ids, own_numbers = pickle.loads(data.as_py())
+            before = len(known)
+            node = np.array([known.setdefault(keys[at : at + 16], len(known)) for at in range(0, len(keys), 16)])
+            fresh = np.flatnonzero(node >= before)
+            for at in range(0, len(fresh), 5_000):
+                own = fresh[at : at + 5_000]
+                none = [pa.nulls(len(own), f.type) for f in list(schema)[2:]]
+                yield pa.RecordBatch.from_arrays([pa.array(base + node[own]), pa.array([texts[x] for x in own.tolist()], pa.binary()), *none], schema=schema)
+            nodes.append(node[np.frombuffer(place, dtype="<u4")])
+            ids.append(np.frombuffer(own_ids, dtype=np.int64))
+            numbers.append(np.frombuffer(own_numbers, dtype=np.int32))
     if not known:
         return
-    flat = lambda parts, kind: np.fromiter(chain.from_iterable(parts), dtype=kind)
-    node = np.concatenate([np.atleast_1d(x) for x in nodes])
-    id_, number = flat(ids, np.int64), flat(numbers, np.int64)
+    node, id_, number = (np.concatenate(x) for x in (nodes, ids, numbers))
     order = np.lexsort((number, id_, node))
     node, id_, number = node[order], id_[order], number[order]
     fresh = np.concatenate([[True], (node[1:] != node[:-1]) | (id_[1:] != id_[:-1]) | (number[1:] != number[:-1])])
     node, id_, number = node[fresh], id_[fresh], number[fresh]
     first = np.searchsorted(node, node)
-    for at in range(0, len(node), 50_000):
-        to = slice(at, at + 50_000)
-        columns = [base + node[to], [None] * len(node[to]), id_[to], number[to].astype(np.int32), id_[first[to]], number[first[to]].astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, to_arrow_schema(_LINES), strict=True)], schema=to_arrow_schema(_LINES))
+    block = node >> BLOCK_BITS
+    cuts = np.append(np.unique(block, return_index=True)[1], len(node)).tolist()
+    rows = []
+    for start, end in pairwise(cuts):
+        for at in range(start, end, PACK):
+            to = slice(at, min(at + PACK, end))
+            # the first line of a node that began in an earlier pack
+            earlier = (int(id_[first[at]]), int(number[first[at]])) if first[at] < at else None
+            packed = (node[to] & BLOCK - 1).astype("<u2"), id_[to], number[to]
+            rows.append((None, None, (base >> BLOCK_BITS) + int(block[at]), pickle.dumps((earlier, *[x.tobytes() for x in packed]), 5)))
+    yield from batches(rows, _LINES, 16)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, ...]:
+    """(place of its node in the block, id, line_no, id and line_no of the node's first) of the lines of a pack, by node."""
+    earlier, *own = pickle.loads(data)
+    place, id_, number = (np.frombuffer(x, dtype=kind) for x, kind in zip(own, ("<u2", np.int64, np.int32), strict=True))
+    first = np.searchsorted(place, place)
+    first_id, first_number = id_[first], number[first]
+    if earlier:
+        first_id[first == 0], first_number[first == 0] = earlier
+    return place, id_, number, first_id, first_number
+
+
+def _first_lines(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(component, first_id, first_line_no) of linked nodes, from packs (data) with the linked nodes of their block (own)."""
+    for frame in frames:
+        for data, own in zip(frame.column(0), frame.column(1), strict=True):
+            place, _, _, first_id, first_number = _unpacked(data.as_py())
+            node, component = (own.values.field(k).to_numpy() for k in range(2))
+            wanted = node & BLOCK - 1
+            at = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
+            here = place[at] == wanted
+            at = at[here]
+            yield pa.RecordBatch.from_arrays([pa.array(component[here]), pa.array(first_id[at]), pa.array(first_number[at])], names=["component", "first_id", "first_line_no"])
+
+
+def _judged(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, line_no, first_id, first_line_no, kept) of all lines, from packs (data) with the first lines of their block's linked nodes (own)."""
+    for frame in frames:
+        for data, own in zip(frame.column(0), frame.column(1), strict=True):
+            place, id_, number, first_id, first_number = _unpacked(data.as_py())
+            if own.is_valid:
+                node, won_id, won_number = (own.values.field(k).to_numpy() for k in range(3))
+                at = np.full(BLOCK, -1)
+                at[node & BLOCK - 1] = np.arange(len(node))
+                at = at[place]
+                first_id, first_number = np.where(at < 0, first_id, won_id[at]), np.where(at < 0, first_number, won_number[at])
+            kept = (id_ == first_id) & (number == first_number)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (id_, number, first_id, first_number, kept)], names=["id", "line_no", "first_id", "first_line_no", "kept"])
 
 
 def _part_of(hashed: np.ndarray, parts: int) -> np.ndarray:
@@ -266,11 +348,11 @@ def _packed_bands(parts: list[int], chars: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             hashed, sizes, more = (np.concatenate(x) for x in zip(*kept, strict=True))
-            order = np.argsort(hashed, axis=None)
+            part_of = _part_of(hashed.reshape(-1), len(parts)).astype(np.min_scalar_type(len(parts)))
+            order = np.argsort(part_of, kind="stable")
             dealt, line = hashed.reshape(-1)[order], order // BANDS
-            part_of = _part_of(dealt, len(parts))
             step = (np.log(sizes) * SIZE_STEPS).astype("u1")
-            cuts = np.searchsorted(part_of, np.arange(len(parts) + 1))
+            cuts = np.append(0, np.cumsum(np.bincount(part_of, minlength=len(parts))))
             more = more.reshape(-1)[order]
             entry = {"low": dealt.astype("<u2"), "high": (dealt >> np.uint64(16)).astype("u1"), "at": line.astype("<u2"), "step": step[line], "more": more.astype("<u4"), "rest": (more >> np.uint64(32)).astype("<u2")}
             known = np.array(nodes, dtype=np.int64)
@@ -348,7 +430,11 @@ def _shared_bands(num: int, den: int):
             np.minimum.at(hub, bucket[inside], inside)
             pairs.append((node[hub[bucket[inside]]], node[inside]))
             a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            fresh = (a != b) & np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+            a, b = a[fresh], b[fresh]
             for columns in (a, b, None), (node[inside], None, (part << 24) + hashed[inside].astype(np.int64)):
                 for at in range(0, len(columns[0]), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.nulls(len(columns[0][at : at + 50_000]), pa.int64()) if c is None else pa.array(c[at : at + 50_000]) for c in columns], names=["a", "b", "band"])
@@ -358,9 +444,8 @@ def _shared_bands(num: int, den: int):
 
 def _shingle_sets(lines: list[str], chars: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct place << 50 | hash of the shingles of the line in that place, number of them by place)."""
-    codes = [_codes(x, chars) for x in lines]
-    sizes = np.array([len(c) for c in codes])
-    hashed = _shingles(np.concatenate(codes).astype(np.uint64), chars)
+    codes, sizes = _codes(lines, chars)
+    hashed = _shingles(codes.astype(np.uint64), chars)
     inside = np.ones(len(hashed) + chars - 1, dtype=bool)
     for back in range(1, chars):
         inside[np.cumsum(sizes) - back] = False
@@ -451,19 +536,18 @@ def _labels(texts: DataFrame, num: int, den: int, chars: int) -> DataFrame:
     found = written(entries.mapInArrow(_shared_bands(num, den), "a long, b long, band long"), "found")
     release(spark)
     pairs = written(found.where("b is not null").select("a", "b").distinct(), "pairs")
-    large = found.where("b is null").select(F.col("a").alias("node"), "band")
-    texts_of = lambda wanted: restrict(texts, wanted, "node")
-    wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
-    sets = written(texts_of(wanted), "sets")
+    bands = written(found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.collect_set("band").alias("bands")), "bands")
+    wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(bands.select("node")).distinct(), "wanted")
+    # all texts are read once for both ways
+    sets = written(restrict(texts, wanted, "node"), "sets", **TEXTS)
     side = lambda x: sets.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
     first = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_alike_lines(num, den, chars), "u long, v long"), "links")
-    if large.isEmpty():
+    if bands.isEmpty():
         return _joined(first)
     labels = written(_joined(first), "labels")
-    bands = large.groupBy("node").agg(F.collect_set("band").alias("bands"))
     place, schema = _large_members(len(parts), chars)
-    members = written(texts_of(bands.select("node")).join(bands, "node").select("node", "text", "bands").mapInArrow(place, schema), "members")
-    fetch = lambda wanted: texts_of(wanted).select("node", F.col("text").alias("set"))
+    members = written(restrict(sets, bands, "node").join(bands, "node").select("node", "text", "bands").mapInArrow(place, schema), "members")
+    fetch = lambda wanted: restrict(sets, wanted, "node").select("node", F.col("text").alias("set"))
     s = Sketches(members.select("node", "n", "sig").dropDuplicates(["node"]), ROWS * 2, BANDS, "<u2", fetch, equal_share, num / den - MARGIN, num, den, partial(_stored_set, chars=chars))
     second = written(across(s, members.select("no", "band", "node"), labels), "links")
     return labels if second.isEmpty() else _joined(first.union(second))
@@ -486,17 +570,17 @@ def line_classes(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "
     """
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = _parts(docs.sparkSession)
-    lines = written(source.mapInArrow(_packed_lines(parts), _PACKED).repartition(len(parts), "part").mapInArrow(_numbered, _LINES), "lines")
+    lines = written(source.mapInArrow(_packed_lines(parts), _PACKED).repartition(len(parts), "part").mapInArrow(_numbered, _LINES), "lines", **TEXTS)
     # the shuffle's files are as large as the lines, and those of the bands are to come
     release(docs.sparkSession)
     labels = written(_labels(lines.where("text is not null").select("node", "text"), num, den, chars), "labels")
-    occurrences = lines.where("text is null").select("node", "id", "line_no", "first_id", "first_line_no")
-    of_linked = occurrences.where("id = first_id and line_no = first_line_no").join(labels, "node")
-    winners = of_linked.groupBy("component").agg(F.min(F.struct("first_id", "first_line_no")).alias("winner"))
-    judged = occurrences.join(labels.join(winners, "component").select("node", "winner"), "node", "left")
-    won = lambda c: F.coalesce(F.col(f"winner.{c}"), F.col(c))
-    kept = (F.col("id") == won("first_id")) & (F.col("line_no") == won("first_line_no"))
-    return judged.select(F.col("id").alias(id_col), "line_no", won("first_id").alias("first_id"), won("first_line_no").alias("first_line_no"), kept.alias("kept"))
+    packs = lines.where("data is not null").select("block", "data")
+    by_block = lambda rows, *columns: rows.groupBy(F.shiftright("node", BLOCK_BITS).alias("block")).agg(F.collect_list(F.struct("node", *columns)).alias("own"))
+    firsts = packs.join(by_block(labels, "component"), "block").select("data", "own").mapInArrow(_first_lines, "component long, first_id long, first_line_no int")
+    winners = firsts.groupBy("component").agg(F.min(F.struct("first_id", "first_line_no")).alias("winner")).select("component", "winner.*")
+    won = written(labels.join(winners, "component").select("node", "first_id", "first_line_no"), "won")
+    judged = packs.join(by_block(won, "first_id", "first_line_no"), "block", "left").select("data", "own")
+    return judged.mapInArrow(_judged, "id long, line_no int, first_id long, first_line_no int, kept boolean").withColumnRenamed("id", id_col)
 
 
 def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", chars: int = CHARS) -> DataFrame:

@@ -186,10 +186,8 @@ def _dealt(labelled: DataFrame) -> DataFrame:
     chunk is one group. Members of a pair of different components meet in one
     group, in different chunks of it or in a group of a single chunk.
     """
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    inside = written(labelled.join(mixed, "band"), "mixed")
-    parts = inside.groupBy("band", "component").agg(F.count("*").alias("size"))
-    shape = parts.groupBy("band").agg(F.sum("size").alias("all"), F.max(F.struct("size", (-F.col("component")).alias("minus"))).alias("most"))
+    parts = labelled.groupBy("band", "component").agg(F.count("*").alias("size"))
+    shape = parts.groupBy("band").agg(F.sum("size").alias("all"), F.max(F.struct("size", (-F.col("component")).alias("minus"))).alias("most")).where(F.col("all") > F.col("most.size"))
     whole = F.col("all") <= CHUNK
     chunks = lambda size: F.ceil(size / CHUNK).cast("int")
     foreign = F.when(whole, 1).otherwise(chunks(F.col("all") - F.col("most.size"))).alias("foreign")
@@ -199,7 +197,7 @@ def _dealt(labelled: DataFrame) -> DataFrame:
     place = lambda count: F.pmod(F.xxhash64("node"), count).cast("int")
     chunk = F.when(in_largest, F.col("foreign") + place(F.greatest("own", F.lit(1)))).otherwise(place(F.col("foreign")))
     last = F.when(in_largest, F.col("foreign")).otherwise(F.col("foreign") + F.col("own")) - 1
-    chunked = inside.join(shape, "band").select("no", "band", "node", "component", chunk.alias("chunk"), last.alias("last"))
+    chunked = labelled.join(shape, "band").select("no", "band", "node", "component", chunk.alias("chunk"), last.alias("last"))
     dealt = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     return dealt.select("no", "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component")
 

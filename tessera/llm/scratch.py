@@ -53,10 +53,10 @@ class Table:
     Lost executors cost nothing: readers scan the files again.
     """
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, **options: str):
         self.spark = df.sparkSession
         self.path = f"{_own_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        df.write.options(compression="zstd", **options).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         release(self.spark)
 
@@ -65,6 +65,6 @@ class Table:
         _delete(self.spark, self.path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` read back from a table in the shared folder."""
-    return Table(df, name).df
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` read back from a table in the shared folder, written with ``options``."""
+    return Table(df, name, **options).df

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from math import comb
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -279,6 +280,64 @@ def test_lines_take_little_disk(spark, tmp_path, monkeypatch):
     assert sum(len(x) for p in packs for x in p.column(1).to_pylist()) < 400 * count
 
 
+def test_lines_travel_in_packs(monkeypatch):
+    """Distinct lines are rows, all lines are in packs; the lines of a node in several packs know its first one."""
+    monkeypatch.setattr(line_dedup, "PACK", 3)
+    monkeypatch.setattr(line_dedup, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 2)))
+    rows = [(k, f"own {k}\nshared by all\n\nab\n shared by all ") for k in range(19, -1, -1)] + [(30, None), (31, "\n"), (3, "own 3")]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows])], names=["id", "text"])
+    made = pa.Table.from_batches(list(line_dedup._numbered(line_dedup._packed_lines([5])(iter([batch]))))).to_pylist()
+    texts = {r["node"]: r["text"].decode() for r in made if r["text"] is not None}
+    lines = {(k, n): own for k, text in rows for n, line in enumerate((text or "").split("\n")) if (own := line.strip())}
+    first = {own: min(p for p, x in lines.items() if x == own) for own in lines.values()}
+    assert sorted(texts.values()) == sorted(first)
+    packs = [(r["block"], r["data"]) for r in made if r["data"] is not None]
+    found = {}
+    for block, data in packs:
+        own = list(zip(*[x.tolist() for x in line_dedup._unpacked(data)], strict=True))
+        assert len(own) <= 3
+        for place, id_, number, *least in own:
+            assert (id_, number) not in found
+            found[(id_, number)] = texts[(block << line_dedup.BLOCK_BITS) + place]
+            assert tuple(least) == first[lines[(id_, number)]]
+    assert found == lines
+    node = next(n for n, text in texts.items() if text == "ab")
+    won = pa.array([[{"node": node, "first_id": -1, "first_line_no": 7}]] * len(packs), pa.list_(pa.struct([("node", pa.int64()), ("first_id", pa.int64()), ("first_line_no", pa.int32())])))
+    judged = pa.Table.from_batches(list(line_dedup._judged(iter([pa.RecordBatch.from_arrays([pa.array([d for _, d in packs]), won], names=["data", "own"])])))).to_pylist()
+    for r in judged:
+        place, line = (r["id"], r["line_no"]), lines[(r["id"], r["line_no"])]
+        want = (-1, 7) if line == "ab" else first[line]
+        assert ((r["first_id"], r["first_line_no"]), r["kept"]) == (want, want == place)
+
+
+def test_a_line_of_more_documents_than_a_pack_holds(spark, tmp_path):
+    count = line_dedup.PACK + 5_000
+    spark.range(count).select(F.col("id").alias("doc_id"), F.lit("a line that all documents share").alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    found = op4_line_dedup(spark, str(tmp_path)).groupBy("first_id", "first_line_no", "kept").count().collect()
+    assert sorted(tuple(r) for r in found) == [(0, 0, False, count - 1), (0, 0, True, 1)]
+
+
+def test_members_of_buckets_are_joined_once(spark, monkeypatch):
+    """One join by bucket makes one row a member, and a group of twice the size gives twice the rows."""
+    tables = []
+    monkeypatch.setattr(linking, "CHUNK", 50)
+    monkeypatch.setattr(linking, "written", lambda df, name: tables.append(name) or scratch.written(df, name))
+    rows = {}
+    for n in (200, 400):
+        # a group of near copies and a foreign line in one bucket, and a bucket that is not mixed
+        labelled = spark.range(n + 1).selectExpr("0 AS no", "7L AS band", "id AS node", f"IF(id = {n}, id, 0L) AS component")
+        labelled = labelled.union(spark.range(n).selectExpr("1", "8L", "id", "0L"))
+        dealt = linking._dealt(labelled)
+        assert dealt._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+        found = dealt.collect()
+        assert {r.band for r in found} == {7}
+        groups = {r.node: {(x.i, x.j) for x in found if x.node == r.node} for r in found if r.node == n}
+        assert all({(r.i, r.j)} <= groups[n] for r in found)
+        rows[n] = len(found)
+    assert not tables
+    assert 200 < rows[200] and rows[400] <= 2 * rows[200]
+
+
 def test_one_changed_character_in_short_lines(spark, tmp_path):
     """op4 against brute force over 4-character shingles made without the operator's code."""
     ship(spark)
