@@ -49,6 +49,26 @@ def test_closure_of_cycles_and_hubs(spark, monkeypatch):
     assert max(df.count() for df in written) < 1_000
 
 
+def test_closure_of_many_profiles(spark, monkeypatch):
+    """Many nodes that reach nearly the same: no table is larger than the edges, though each node has a profile of its own. Nulls are nodes that nothing joins."""
+    rng, written, cut = random.Random(6), [], logic._cut
+    monkeypatch.setattr(logic, "_cut", lambda df: written.append(cut(df)) or written[-1])
+    monkeypatch.setattr(logic, "SIDE", 7)
+    edges = {(f"a{k}", "m") for k in range(36)} | {(f"a{k}", f"o{x}") for k in range(40) for x in rng.sample(range(10), 3)}
+    edges |= {("m", f"b{k}") for k in range(300)} | {(f"o{k}", f"b{x}") for k in range(10) for x in rng.sample(range(310), 30)}
+    edges |= {(None, "x"), ("x", "y"), ("y", None), (None, "y"), (None, None), ("x", None)}
+    reach = set(edges)
+    while more := {(a, d) for a, b in reach for c, d in edges if b == c and b is not None} - reach:
+        reach |= more
+    table = spark.createDataFrame(list(edges), "a0 string, a1 string")
+    for most in (logic.NODES, 0):
+        monkeypatch.setattr(logic, "NODES", most)
+        found = [(r.a0, r.a1) for r in logic.closure(table).collect()]
+        assert len(found) == len(reach)
+        assert set(found) == reach
+    assert max(df.count() for df in written) <= len(edges)
+
+
 def _edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
